@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tabwise import config
 from tabwise.functions import text as tx
+from tabwise.session import spread
 
 
 @dataclass
@@ -59,7 +60,7 @@ def coercion_rates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                 F.count_if(stripped.rlike(tx.INTEGER)).alias("plain_int"),
             )
         )
-    return df.agg(F.array(*measures).alias("m")).select(F.inline("m"))
+    return spread(df.select(*cols)).agg(F.array(*measures).alias("m")).select(F.inline("m"))
 
 
 def coercible(rates: DataFrame, fraction: float = config.NUMERIC_COERCE_FRACTION) -> DataFrame:
@@ -108,7 +109,7 @@ def pii_hits(df: DataFrame, cols: list[str] | None = None, sample_rows: int | No
     for c in cols:
         found = [F.when(F.bool_or(F.col(c).rlike(p)), F.lit(e)) for e, p in tx.PII_PATTERNS.items()]
         per_col.append(F.struct(F.lit(c).alias("name"), F.array_sort(F.array_compact(F.array(*found))).alias("entities")))
-    return df.agg(F.array(*per_col).alias("m")).select(F.inline("m")).filter(F.size("entities") > 0)
+    return spread(df.select(*cols)).agg(F.array(*per_col).alias("m")).select(F.inline("m")).filter(F.size("entities") > 0)
 
 
 def count_total_rows(df: DataFrame, cols: list[str]) -> DataFrame:

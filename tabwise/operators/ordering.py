@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise import config
+from tabwise.session import spread
 
 INF = float("inf")
 
 
 def unpivot_numeric(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., name, value) with one row per non-null numeric cell."""
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
-    return df.select(*keep, F.inline(cells)).filter(F.col("value").isNotNull())
+    cells = [e for c in cols for e in (F.lit(c), F.col(c).cast("double"))]
+    df = spread(df.select(*dict.fromkeys([*keep, *cols])))
+    return df.select(*keep, F.stack(F.lit(len(cols)), *cells).alias("name", "value")).filter(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, cols: list[str], keep: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -101,10 +103,6 @@ def join_on_value(fact: DataFrame, table: DataFrame, keys: list[str], heavy_rows
     return on_hot.unionByName(on_cold.select(on_hot.columns))
 
 
-def _as_literal(value) -> Column:
-    return F.lit(value)
-
-
 def exact_quantiles(
     df: DataFrame,
     cols: list[str],
@@ -115,7 +113,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """(by..., name, prob, value): linearly interpolated quantiles, equal to a full sort's answer.
 
-    Small inputs: one grouped count and one window. Larger ones: a sketch brackets each quantile, a
+    Inputs of at most 4 x ``task_rows`` cells: Spark's exact percentile in one pass. Larger ones: a sketch brackets each quantile, a
     second pass counts the rows below and inside each bracket (shrinking it until it fits one task),
     and only the inside is ordered. ``by`` is for report groups (chart categories, time buckets).
     """
@@ -124,18 +122,23 @@ def exact_quantiles(
     sizes = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols]).limit(max_groups + 1).collect()
     if len(sizes) > max_groups:
         raise ValueError(f"quantiles are reported for at most {max_groups} groups")
-    if max([sum(r[c] for c in cols) for r in sizes] or [0]) <= task_rows:
-        counted = value_counts(df, cols, by)
-        win = Window.partitionBy(*keys, "name").orderBy("value")
-        placed = counted.withColumn("upto", F.sum("cnt").over(win)).withColumn(
-            "n", F.sum("cnt").over(Window.partitionBy(*keys, "name"))
-        )
-        want = F.inline(F.array(*[F.struct(F.lit(float(p)).alias("prob")) for p in probs]))
-        placed = placed.select("*", want).withColumn("below", F.lit(0).cast("bigint"))
-        return _interpolate(placed, keys)
+    if sum(r[c] for r in sizes for c in cols) <= 4 * task_rows:
+        return _in_one_pass(df, cols, probs, keys)
     return _bracketed(df, cols, probs, keys, sizes, task_rows)
 
 
+def _in_one_pass(df: DataFrame, cols: list[str], probs: tuple[float, ...], keys: list[str]) -> DataFrame:
+    wanted = [float(p) for p in probs]
+    got = spread(df.select(*dict.fromkeys([*keys, *cols]))).groupBy(*keys).agg(
+        *[F.percentile(F.col(c).cast("double"), wanted).alias(f"q_{i}") for i, c in enumerate(cols)]
+    )
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.lit(p).alias("prob"), F.col(f"q_{i}")[j].alias("value"))
+        for i, c in enumerate(cols) for j, p in enumerate(wanted)
+    ]
+    return got.select(*keys, F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+
+
 def _interpolate(placed: DataFrame, keys: list[str]) -> DataFrame:
     """From (.., value, cnt, upto, n, below, prob) pick the two neighbours of each wanted rank."""
     h = F.col("prob") * (F.col("n") - 1)

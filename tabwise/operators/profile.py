@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tabwise import config
 from tabwise.functions import text as tx
 from tabwise.operators import ordering
+from tabwise.session import spread
 
 _KINDS = {
     "boolean": "bool", "string": "object", "date": "datetime", "timestamp": "datetime",
@@ -36,7 +37,7 @@ def _as_double(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(name, count, min, max, mean, std, median, q25, q75, sum, variance): one pass plus the quantile job."""
+    """(name, count, min, max, mean, std, sum, variance, int_like, quartiles): one pass plus the quantile job."""
     cols = numeric_columns(df) if cols is None else cols
     num = _as_double(df, cols)
     one_or = lambda c, e: F.when(F.count(c) == 1, 0.0).otherwise(e)
@@ -51,6 +52,7 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                 one_or(c, F.stddev_samp(c)).alias("std"),
                 F.sum(c).alias("sum"),
                 one_or(c, F.var_samp(c)).alias("variance"),
+                F.bool_and(F.col(c) == F.round(F.col(c))).alias("int_like"),
             )
             for c in cols
         ]
@@ -63,13 +65,25 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def value_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(name, value, cnt) over the text form of every column: the one shuffle behind counts and top values."""
+    """(name, text, num, cnt): every distinct value of every column with its row count.
+
+    One shuffle of pre-aggregated values serves distinct counts, top values, text signals and the
+    sequence test. Whole and fractional numbers travel as numbers (bigint / double), the rest as text.
+    """
     cols = profiled_columns(df) if cols is None else cols
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), _text(df, c).alias("value")) for c in cols])
-    return (
-        df.select(F.inline(cells)).filter(F.col("value").isNotNull())
-        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    none_s, none_i, none_d = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    cells = []
+    for c in cols:
+        kind = kind_of(df, c)
+        cells += [
+            F.lit(c),
+            none_s if kind in ("int", "float") else _text(df, c),
+            F.col(c).cast("bigint") if kind == "int" else none_i,
+            F.col(c).cast("double") if kind == "float" else none_d,
+        ]
+    long = spread(df.select(*cols)).select(F.stack(F.lit(len(cols)), *cells).alias("name", "text", "whole", "num"))
+    present = F.coalesce(F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("num").isNotNull(), F.lit(False))
+    return long.filter(present).groupBy("name", "text", "whole", "num").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _text(df: DataFrame, c: str) -> Column:
@@ -78,83 +92,97 @@ def _text(df: DataFrame, c: str) -> Column:
     return F.to_json(F.col(c)) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")
 
 
-def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def value_text() -> Column:
+    return F.coalesce("text", F.col("whole").cast("string"), F.col("num").cast("string"))
+
+
+def column_counts(df: DataFrame, cols: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
     """(name, null_count, count, unique_count); missing values are no distinct value."""
     cols = profiled_columns(df) if cols is None else cols
-    totals = F.array(
-        *[F.struct(F.lit(c).alias("name"), F.count_if(F.col(c).isNull()).alias("null_count"), F.count(c).alias("count")) for c in cols]
+    table = value_table(df, cols) if table is None else table
+    seen = table.groupBy("name").agg(F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("unique_count"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "name string")
+    total = df.agg(F.count(F.lit(1)).alias("rows"))
+    full = F.broadcast(names).crossJoin(F.broadcast(total)).join(F.broadcast(seen), "name", "left")  # one row per column
+    count = F.coalesce("count", F.lit(0).cast("bigint"))
+    return full.select(
+        "name", (F.col("rows") - count).alias("null_count"), count.alias("count"),
+        F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count"),
     )
-    base = df.agg(totals.alias("t")).select(F.inline("t"))
-    uniq = value_table(df, cols).groupBy("name").agg(F.count(F.lit(1)).alias("unique_count"))
-    return base.join(uniq, "name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, n: int = 10, table: DataFrame | None = None) -> DataFrame:
-    """(name, value, cnt, rank): most frequent values per column, ties by value."""
+    """(name, value, cnt, rank): most frequent values per column, ties by value.
+
+    The rank filter lets Spark cut every task to its own best ``n`` before the shuffle by column.
+    """
     table = value_table(df, cols) if table is None else table
     win = Window.partitionBy("name").orderBy(F.desc("cnt"), "value")
-    return table.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= n)
+    return (
+        table.select("name", value_text().alias("value"), "cnt")
+        .withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= n)
+    )
 
 
-def syntactic_profile(df: DataFrame, max_cols: int = config.MAX_COLS) -> DataFrame:
+def syntactic_profile(df: DataFrame, max_cols: int = config.MAX_COLS, table: DataFrame | None = None) -> DataFrame:
     """One row per profiled column; all-null columns are left out, an empty frame gives no rows."""
     cols = profiled_columns(df, max_cols)
+    table = value_table(df, cols) if table is None else table
     spark = df.sparkSession
     order = spark.createDataFrame([(i, c, kind_of(df, c)) for i, c in enumerate(cols)], "position int, name string, dtype string")
-    counts = column_counts(df, cols).filter(F.col("count") > 0)
+    counts = column_counts(df, cols, table).filter(F.col("count") > 0)
     tops = (
-        top_values(df, cols)
+        top_values(df, cols, table=table)
         .groupBy("name")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "cnt"))).alias("t"))
         .select("name", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["cnt"].alias("count"))).alias("top_categories"))
     )
     nums = numeric_columns(df, cols)
-    out = F.broadcast(order).join(counts, "name").join(tops, "name", "left")
+    out = order.join(F.broadcast(counts), "name").join(F.broadcast(tops), "name", "left")  # one row per column each
     stats = ["min", "max", "mean", "std", "median", "q25", "q75", "sum", "variance"]
     if nums:
-        out = out.join(numeric_profile(df, nums).drop("count"), "name", "left")
+        out = out.join(F.broadcast(numeric_profile(df, nums).drop("count")), "name", "left")
     else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(s) for s in stats])
-    return out.select("position", "name", "dtype", "null_count", "unique_count", "count", *stats, "top_categories")
+        out = out.select("*", *[F.lit(None).cast("double").alias(s) for s in stats], F.lit(None).cast("boolean").alias("int_like"))
+    return out.select("position", "name", "dtype", "null_count", "unique_count", "count", *stats, "int_like", "top_categories")
 
 
-def text_signals(df: DataFrame, cols: list[str], strict_compat: bool = True) -> DataFrame:
-    """Per text column, in one aggregation: uuid share, number-parse rate, currency flag, date-format rates.
+def text_signals(df: DataFrame, cols: list[str], strict_compat: bool = True, table: DataFrame | None = None) -> DataFrame:
+    """Per text column: uuid share, number-parse rate, currency flag, date-format rates.
 
-    The ambiguous day/month test of the observed behaviour never fires; with ``strict_compat`` off it
-    marks columns where at least 20 % of the d/m/y-looking values have both parts up to 12.
+    Patterns run once per distinct value, weighted by its count; costly date parsing only where the
+    text has a date's shape. The ambiguous day/month test of the observed behaviour never fires; with
+    ``strict_compat`` off it marks columns where at least 20 % of the d/m/y-looking values have both
+    parts up to 12.
     """
-    parts = []
-    for c in cols:
-        v = F.col(c)
-        n = F.count(v)
-        num = tx.to_number(tx.lenient_number_text(v, strict_compat))
-        first = F.regexp_extract(v, r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})\b", 1)
-        second = F.regexp_extract(v, r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})\b", 2)
-        both = first.try_cast("int").between(1, 12) & second.try_cast("int").between(1, 12)
-        ambiguous = F.lit(0.0) if strict_compat else F.coalesce(F.try_divide(F.count_if(both), F.count_if(first != "")), F.lit(0.0))
-        parts.append(
-            F.struct(
-                F.lit(c).alias("name"),
-                F.coalesce(F.count_if(v.rlike(tx.UUID)) / n, F.lit(0.0)).alias("uuid_share"),
-                F.coalesce(F.count(num) / n, F.lit(0.0)).alias("number_rate"),
-                F.coalesce(F.bool_or(tx.has_currency(v)), F.lit(False)).alias("currency"),
-                F.array(*[F.count_if(tx.parses_as_date(v, f)) / n for _, f in tx.DATE_FORMATS]).alias("date_rates"),
-                F.coalesce(F.count_if(F.try_to_timestamp(v).isNotNull()) / n, F.lit(0.0)).alias("iso_rate"),
-                ambiguous.alias("ambiguous_share"),
-                F.min(num).alias("t_min"), F.max(num).alias("t_max"), F.avg(num).alias("t_mean"),
-                F.coalesce(F.stddev_samp(num), F.lit(0.0)).alias("t_std"),
-            )
-        )
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
-
-
-def integer_signals(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(name, int_like): whether every non-null number is whole."""
-    parts = F.array(
-        *[F.struct(F.lit(c).alias("name"), F.bool_and(F.col(c).cast("double") == F.round(F.col(c).cast("double"))).alias("int_like")) for c in cols]
+    table = value_table(df, cols) if table is None else table
+    v, w = F.col("text"), F.col("cnt")
+    shaped = v.rlike(r"^\s*[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}\s*$")
+    leading_year = v.rlike(r"^\s*[0-9]{4}(-|$)")
+    dmy = r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})\b"
+    both = F.regexp_extract(v, dmy, 1).try_cast("int").between(1, 12) & F.regexp_extract(v, dmy, 2).try_cast("int").between(1, 12)
+    tested = (
+        table.withColumn("num", tx.to_number(tx.lenient_number_text(v, strict_compat)))
+        .withColumn("dates", F.when(shaped, F.array(*[tx.parses_as_date(v, f) for _, f in tx.DATE_FORMATS])))
+        .withColumn("iso", F.when(leading_year, F.try_to_timestamp(v).isNotNull()).otherwise(False))
+    )
+    n = F.sum(w)
+    hits = lambda cond: F.coalesce(F.sum(F.when(cond, w)), F.lit(0))
+    share = lambda cond: hits(cond) / n
+    x = F.col("num")
+    mean = F.sum(x * w) / hits(x.isNotNull())
+    dev = F.sum(x * x * w) - hits(x.isNotNull()) * mean * mean
+    ambiguous = F.lit(0.0) if strict_compat else F.coalesce(F.try_divide(hits(both), hits(v.rlike(dmy))), F.lit(0.0))
+    return tested.groupBy("name").agg(
+        share(v.rlike(tx.UUID)).alias("uuid_share"),
+        share(x.isNotNull()).alias("number_rate"),
+        F.bool_or(tx.has_currency(v)).alias("currency"),
+        F.array(*[share(F.col("dates")[i]) for i in range(len(tx.DATE_FORMATS))]).alias("date_rates"),
+        share(F.col("iso")).alias("iso_rate"),
+        ambiguous.alias("ambiguous_share"),
+        F.min(x).alias("t_min"), F.max(x).alias("t_max"), mean.alias("t_mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.try_divide(dev, hits(x.isNotNull()) - 1))).alias("t_std"),
     )
-    return df.agg(parts.alias("p")).select(F.inline("p"))
 
 
 def sequence_signal(df: DataFrame, cols: list[str]) -> DataFrame:

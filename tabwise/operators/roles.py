@@ -16,12 +16,12 @@ HIGH_WEIGHT, NAME_WEIGHT, MODERATE_WEIGHT, IDENTIFIER_BAR = 0.85, 0.70, 0.4, 0.6
 
 def signal_table(df: DataFrame, max_cols: int = config.MAX_COLS) -> DataFrame:
     """Profile joined with every signal the role rules read; a fixed number of jobs for all columns."""
-    base = pf.syntactic_profile(df, max_cols)
     cols = pf.profiled_columns(df, max_cols)
+    table = pf.value_table(df, cols)
+    base = pf.syntactic_profile(df, max_cols, table)
     texts = [c for c in cols if pf.kind_of(df, c) == "object"]
-    nums = pf.numeric_columns(df, cols)
     if texts:
-        base = base.join(pf.text_signals(df, texts), "name", "left")
+        base = base.join(F.broadcast(pf.text_signals(df, texts, table=table)), "name", "left")  # one row per column
     else:
         base = base.select(
             "*", F.lit(0.0).alias("uuid_share"), F.lit(0.0).alias("number_rate"), F.lit(False).alias("currency"),
@@ -29,10 +29,6 @@ def signal_table(df: DataFrame, max_cols: int = config.MAX_COLS) -> DataFrame:
             F.lit(0.0).alias("ambiguous_share"),
             *[F.lit(None).cast("double").alias(c) for c in ("t_min", "t_max", "t_mean", "t_std")],
         )
-    if nums:
-        base = base.join(pf.integer_signals(df, nums), "name", "left")
-    else:
-        base = base.withColumn("int_like", F.lit(None).cast("boolean"))
     # integers with missing values are measurements: they can never key a row
     kind = F.when((F.col("dtype") == "int") & (F.col("null_count") > 0), "float").otherwise(F.col("dtype"))
     return base.withColumn("kind", kind).withColumn("n_rows", F.col("null_count") + F.col("count"))
@@ -155,7 +151,14 @@ def with_confidence(roled: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, max_cols: int = config.MAX_COLS) -> DataFrame:
-    return with_roles(signal_table(df, max_cols))
+    """The roled profile, computed once: at most ``max_cols`` rows, so later stages read a local table."""
+    return settle(with_roles(signal_table(df, max_cols)))
+
+
+def settle(table: DataFrame) -> DataFrame:
+    """Run the jobs behind a one-row-per-column table now and keep its few rows."""
+    rows = table.limit(10_000).collect()
+    return table.sparkSession.createDataFrame(rows, table.schema)
 
 
 def with_year_ratio(roled: DataFrame) -> DataFrame:

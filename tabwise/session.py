@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "tabwise") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TABWISE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -44,3 +45,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on inputs too small to be split by the reader; larger inputs are left as they are."""
+    sc = df.sparkSession.sparkContext
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(sc.defaultParallelism) if size <= 64 * 1024 * 1024 * sc.defaultParallelism else df
