@@ -90,12 +90,14 @@ def average_ranks(df: DataFrame, cols: list[str], task_rows: int | None = None)
     return pos.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / 2).drop("before")
 
 
-def join_on_value(fact: DataFrame, table: DataFrame, keys: list[str], heavy_rows: int) -> DataFrame:
+def join_on_value(fact: DataFrame, table: DataFrame, keys: list[str], heavy_rows: int, rows: int) -> DataFrame:
     """Inner join of rows with a per-value table (column ``cnt`` = rows of that value), safe for hot values.
 
     Values held by at least ``heavy_rows`` rows are few (rows / heavy_rows at most), so they are
-    broadcast; what is left has no hot key and is shuffled.
+    broadcast; what is left has no hot key and is shuffled. Below ``heavy_rows`` rows in all, nothing is hot.
     """
+    if rows < heavy_rows:
+        return fact.join(table.drop("cnt"), keys)
     hot = table.filter(F.col("cnt") >= heavy_rows).drop("cnt")
     cold = table.filter(F.col("cnt") < heavy_rows).drop("cnt")
     on_hot = fact.join(F.broadcast(hot), keys)

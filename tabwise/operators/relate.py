@@ -91,8 +91,8 @@ def _rank_correlation(rows: DataFrame, ranks: DataFrame, a: str, b: str, total:
     joint = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("w"))
     heavy = max(config.BROADCAST_ROWS, total // 1000)
     rank_of = lambda c, key, name: ranks.filter(F.col("name") == c).select(F.col("value").alias(key), F.col("rank").alias(name), "cnt")
-    placed = ordering.join_on_value(joint, rank_of(a, "x", "rx"), ["x"], heavy)
-    placed = ordering.join_on_value(placed, rank_of(b, "y", "ry"), ["y"], heavy)
+    placed = ordering.join_on_value(joint, rank_of(a, "x", "rx"), ["x"], heavy, total)
+    placed = ordering.join_on_value(placed, rank_of(b, "y", "ry"), ["y"], heavy, total)
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     s = placed.agg(
         F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),
