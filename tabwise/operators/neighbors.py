@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwise.operators import ordering
 from tabwise.session import cut_lineage
@@ -89,7 +90,7 @@ def nearest_neighbors(points: DataFrame, cols: list[str], key: str, k: int, cell
     nodes = np.array(_median_cuts(sample.select(*cols).toPandas().to_numpy(dtype=float), leaves))
     shared = points.sparkSession.sparkContext.broadcast(nodes)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def cell(*parts: pd.Series) -> pd.Series:
         return pd.Series(_cell_of(np.column_stack([p.to_numpy(dtype=float) for p in parts]), shared.value)).astype("int32")
 

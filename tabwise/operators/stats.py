@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwise import config
 from tabwise.functions import dist
@@ -66,7 +67,7 @@ def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumn("normality_p", p).withColumn("is_normal", F.col("normality_p") > 0.05).drop("levels", "sample")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _shapiro(samples: pd.Series) -> pd.Series:
     return samples.map(lambda s: dist.shapiro_wilk_p([v for v in s if v is not None]) if s is not None else None)
 
