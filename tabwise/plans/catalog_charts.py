@@ -243,12 +243,12 @@ def w15(spark, d):
     "f15_compact_numbers",
     """SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN printf('%.1f', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN printf('%.1f', v / 1e6) || 'M'
     WHEN abs(v) >= 1e3 THEN printf('%.1f', v / 1e3) || 'k' WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE regexp_replace(regexp_replace(printf('%.2f', v), '0+$', ''), '\\.$', '') END AS label
-    FROM (SELECT o_orderkey, (o_orderkey * 7919 % 2000003) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0.1270003 WHEN 2 THEN 1003.0007 ELSE 0.000507 END::DOUBLE AS v FROM orders)""",
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 1000 ELSE o_orderkey * 7919 % 2000003 END * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0.1270003 WHEN 2 THEN 1003.0007 ELSE 0.000507 END::DOUBLE AS v FROM orders)""",
 )
 def f15(spark, d):
     k = F.col("o_orderkey")
     scale = F.when(k % 4 == 0, 1.0).when(k % 4 == 1, 0.1270003).when(k % 4 == 2, 1003.0007).otherwise(0.000507)
-    return load(spark, d, "orders").select("o_orderkey", tx.compact_number((k * 7919 % 2000003) * scale).alias("label"))
+    return load(spark, d, "orders").select("o_orderkey", tx.compact_number(F.when(k % 4 == 0, k % 1000).otherwise(k * 7919 % 2000003) * scale).alias("label"))
 
 
 @query("a30_indicator_bars", "SELECT 'Average l_quantity' AS name, printf('%.2f', avg(l_quantity)) AS value, 'average' AS type FROM lineitem UNION ALL SELECT 'Variability in l_quantity', printf('%.2f', stddev_samp(l_quantity)), 'variability' FROM lineitem")
