@@ -262,7 +262,8 @@ def role_overrides_allowed(roled: DataFrame, suggestions: DataFrame, id_name: st
     guarded = (F.col("role") == "identifier") & (F.col("suggested") != "identifier") & ((unique > 0.9) | F.col("name").rlike(id_name))
     joined = roled.join(s, "name", "left")
     take = F.coalesce(valid & (F.col("suggested") != F.col("role")) & ~guarded, F.lit(False))
-    return joined.withColumn("old_role", F.col("role")).withColumn("role", F.when(take, F.col("suggested")).otherwise(F.col("role"))).withColumn("changed", take).drop("suggested")
+    marked = joined.withColumn("changed", take).withColumn("old_role", F.col("role"))
+    return marked.withColumn("role", F.when(F.col("changed"), F.col("suggested")).otherwise(F.col("role"))).drop("suggested")
 
 
 # Fixed value: names that mark a key column in role arbitration.

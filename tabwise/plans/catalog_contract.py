@@ -431,10 +431,10 @@ def j3(spark, d):
 
 
 @query("j4_provenance", """WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'kpi' ELSE 'chart' END AS kind, CASE WHEN o_orderkey % 10 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN 'corr:' || o_orderstatus || '|' || o_orderpriority ELSE 'column:' || o_orderpriority END AS source,
-    CASE WHEN o_orderkey % 9 = 0 THEN 'radar' ELSE 'scatter' END AS intent, o_orderstatus AS x_field, o_orderpriority AS y_field FROM orders), known(name) AS (VALUES ('F'), ('O'), ('1-URGENT'), ('5-LOW'), ('2-HIGH')),
+    CASE WHEN o_orderkey % 9 = 0 THEN 'radar' ELSE 'scatter' END AS intent, o_orderstatus AS x_field, o_orderpriority AS y_field FROM orders),
     r AS (SELECT *, CASE WHEN kind = 'chart' THEN [x_field, y_field] WHEN source LIKE 'column:%' THEN [source[8:]] WHEN source LIKE 'corr:%' THEN string_split(source[6:], '|') ELSE [] END AS refs FROM i)
     SELECT id, CASE WHEN kind = 'kpi' AND source = '' THEN 'no-provenance' WHEN kind = 'chart' AND intent = 'radar' THEN 'disallowed-intent' ELSE 'unknown-column' END AS reason FROM r
-    WHERE (kind = 'kpi' AND source = '') OR (kind = 'chart' AND intent = 'radar') OR len([x for x in refs if x NOT IN (SELECT name FROM known)]) > 0""")
+    WHERE (kind = 'kpi' AND source = '') OR (kind = 'chart' AND intent = 'radar') OR NOT list_has_all(['F', 'O', '1-URGENT', '5-LOW', '2-HIGH'], refs)""")
 def j4(spark, d):
     k = F.col("o_orderkey")
     src = F.when(k % 10 == 0, "").when(k % 4 == 0, F.concat(F.lit("corr:"), "o_orderstatus", F.lit("|"), "o_orderpriority")).otherwise(F.concat(F.lit("column:"), "o_orderpriority"))

@@ -108,14 +108,14 @@ def trace_analysis(events: DataFrame) -> DataFrame:
     )
 
 
-def burn_rate(events: DataFrame, failed: Column, slide: str = "5 minutes", budget: float = ERROR_BUDGET) -> DataFrame:
+def burn_rate(events: DataFrame, failed: Column, slide: str = "5 minutes", budget: float = ERROR_BUDGET, rules=BURN_RULES) -> DataFrame:
     """(rule, start, end, total, errors, ratio, firing) over sliding windows of 1 and 6 hours.
 
     Batch: events are counted per slide step once, windows then add up those few counts. Streaming: one
     windowed aggregation per rule, unioned.
     """
     parts = []
-    for rule, size, factor in BURN_RULES:
+    for rule, size, factor in rules:
         base = events.select("ts", failed.cast("int").alias("bad"))
         if not events.isStreaming:
             base = base.groupBy(F.window("ts", slide).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")).select(F.col("s.start").alias("ts"), "n", "b")
