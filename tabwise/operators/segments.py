@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 from tabwise import config
 from tabwise.functions import text as tx
 from tabwise.operators import matrix as mx
+from tabwise.session import side_by_side
 
 
 def _fit_best(vectors: DataFrame, ks, seed: int):
     """(silhouette, k, model) with the highest silhouette; squared-distance silhouette, linear in rows."""
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    best = None
-    for k in ks:
+
+    def attempt(k: int):
         model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features").fit(vectors)
         labelled = model.transform(vectors)
-        if labelled.select("prediction").distinct().count() < 2:
-            continue
-        s = judge.evaluate(labelled)
-        if best is None or s > best[0]:
-            best = (s, k, model)
-    return best
+        if len(model.clusterCenters()) < 2 or labelled.select("prediction").distinct().count() < 2:
+            return None
+        return judge.evaluate(labelled), -k, model
+
+    tries = [t for t in side_by_side([lambda k=k: attempt(k) for k in ks]) if t]
+    if not tries:
+        return None
+    s, k, model = max(tries, key=lambda t: t[:2])
+    return s, -k, model
 
 
 def best_kmeans(df: DataFrame, cols: list[str], ks=range(2, 8), seed: int = 0) -> dict:

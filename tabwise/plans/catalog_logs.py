@@ -19,7 +19,9 @@ def event_stream(spark, d, glob: str = "events.parquet"):
 
 def drain(stream, mode: str):
     run = uuid.uuid4().hex
-    return logs.run_available(stream, f"out_{run}", mode, f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{run}")
+    out = logs.run_available(stream, f"out_{run}", mode, f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{run}")
+    zoned = [f.name for f in out.schema.fields if f.dataType.typeName() == "timestamp"]
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
 
 
 # ---------------------------------------------------------------- R1 status fold

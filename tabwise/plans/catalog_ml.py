@@ -41,12 +41,12 @@ _LOF = f"""WITH p AS (SELECT id, x, y, min(id) OVER (PARTITION BY x, y) AS pid F
     pl AS (SELECT pid, any_value(lrd) AS lrd, count(*) AS copies FROM lr GROUP BY 1)"""
 
 
-@query("t10_lof", f"{_LOF} SELECT pl.pid, any_value(copies) AS copies, round(avg(n.lrd) / any_value(pl.lrd), 6) AS lof FROM pl JOIN nn ON nn.id = pl.pid JOIN pl n ON n.pid = nn.nbr GROUP BY pl.pid")
+@query("t10_lof", f"{_LOF} SELECT pl.pid, any_value(pl.copies) AS copies, round(avg(n.lrd) / any_value(pl.lrd), 6) AS lof FROM pl JOIN nn ON nn.id = pl.pid JOIN pl n ON n.pid = nn.nbr GROUP BY pl.pid")
 def t10(spark, d):
     return rounded(neighbors.local_outlier_factor(_places(spark, d), ["c_acctbal", "place"], "c_custkey", _K), lof=6)
 
 
-@query("t10_lof_outliers", f"{_LOF}, l AS (SELECT pl.pid, any_value(copies) AS copies, avg(n.lrd) / any_value(pl.lrd) AS lof FROM pl JOIN nn ON nn.id = pl.pid JOIN pl n ON n.pid = nn.nbr GROUP BY pl.pid) SELECT sum(CASE WHEN lof > 1.5 THEN copies ELSE 0 END)::BIGINT AS n_outliers, sum(copies)::BIGINT AS n_rows, round(sum(CASE WHEN lof > 1.5 THEN copies ELSE 0 END) / sum(copies), 4)::DOUBLE AS fraction FROM l")
+@query("t10_lof_outliers", f"{_LOF}, l AS (SELECT pl.pid, any_value(pl.copies) AS copies, avg(n.lrd) / any_value(pl.lrd) AS lof FROM pl JOIN nn ON nn.id = pl.pid JOIN pl n ON n.pid = nn.nbr GROUP BY pl.pid) SELECT sum(CASE WHEN lof > 1.5 THEN copies ELSE 0 END)::BIGINT AS n_outliers, sum(copies)::BIGINT AS n_rows, round(sum(CASE WHEN lof > 1.5 THEN copies ELSE 0 END) / sum(copies), 4)::DOUBLE AS fraction FROM l")
 def t10_outliers(spark, d):
     return neighbors.lof_summary(neighbors.local_outlier_factor(_places(spark, d), ["c_acctbal", "place"], "c_custkey", _K))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,9 @@ def spread(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(sc.defaultParallelism) if size <= 64 * 1024 * 1024 * sc.defaultParallelism else df
+
+
+def side_by_side(jobs: list, threads: int = 4) -> list:
+    """Run independent driver calls (model fits, reports) at once; Spark shares the cluster among their jobs."""
+    with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(lambda job: job()), jobs)

@@ -20,7 +20,8 @@ TRACE_PREFIX = "PIPELINE_TRACE::"
 
 
 def watermarked(events: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark(ts, late) if events.isStreaming else events
+    """Bound the state of a streaming plan; a watermark needs a zoned timestamp column."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
 
 
 def job_status(events: DataFrame) -> DataFrame:
