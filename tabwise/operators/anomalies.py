@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabwise import config
 from tabwise.functions import text as tx
 from tabwise.operators import matrix as mx
+from tabwise.session import spread
 
 TREES, SAMPLE = 100, 256  # fixed values of the method
 _EULER = 0.5772156649015329
@@ -51,12 +52,14 @@ def fit_forest(df: DataFrame, cols: list[str], key: list[str], seed: int = 0) ->
 
     ``key`` must tell rows apart; copies of one feature row are then sampled like any other rows.
     """
-    pool = (
-        df.select(*cols, F.xxhash64(F.lit(seed), *key).alias("h")).orderBy("h").limit(TREES * SAMPLE)
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    )
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "h")
-    picked = pool.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLE)
+    pool = df.select(*cols, F.xxhash64(F.lit(seed), *key).alias("h")).orderBy("h").limit(TREES * SAMPLE)
+    m = min(df.count(), TREES * SAMPLE)
+    # each tree looks at a hash share of the pool a little above what it takes: the order is then cheap
+    share = min(1.0, 1.4 * SAMPLE / max(m, 1))
+    draw = F.pmod(F.xxhash64("tree", "h"), F.lit(1_000_000))
+    pool = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("draw", draw).filter(F.col("draw") < share * 1_000_000)
+    order = Window.partitionBy("tree").orderBy("draw", "h")
+    picked = pool.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLE).drop("draw")
     schema = "tree int, size int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
 
     def grow(p: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +92,7 @@ def score(df: DataFrame, cols: list[str], keep: list[str], forest: tuple[list, i
     trees, size = forest
     shipped = df.sparkSession.sparkContext.broadcast(trees)  # 100 trees of at most 511 nodes
     norm = path_norm(size) or 1.0
-    base = df.select(*dict.fromkeys([*keep, *cols]))
+    base = spread(df.select(*dict.fromkeys([*keep, *cols])))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", score double"
 
     def run(batches):

@@ -9,13 +9,14 @@ tasks agree with each other.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise import config
-from tabwise.session import spread
+from tabwise.session import several_passes, spread
 
 INF = float("inf")
 
@@ -121,17 +122,93 @@ def exact_quantiles(
     """
     task_rows = task_rows or config.TASK_ROWS
     keys = list(by)
+    if not keys:
+        return _whole_columns(df, cols, probs, task_rows)[0]
     sizes = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols]).limit(max_groups + 1).collect()
     if len(sizes) > max_groups:
         raise ValueError(f"quantiles are reported for at most {max_groups} groups")
-    if sum(r[c] for r in sizes for c in cols) <= 4 * task_rows:
+    if sum(r[c] for r in sizes for c in cols) <= task_rows:
         return _in_one_pass(df, cols, probs, keys)
     return _bracketed(df, cols, probs, keys, sizes, task_rows)
 
 
+def _whole_columns(df: DataFrame, cols: list[str], probs: tuple[float, ...], task_rows: int, extra: tuple = ()):
+    """Quantiles of whole columns: sketch, count around the brackets, order only what lies inside them.
+
+    Three column-pruned scans without a shuffle of the data; brackets are numbers in the expressions.
+    Returns (quantile table, row of the ``extra`` aggregates taken along in the first scan).
+    """
+    with several_passes(df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)])) as base:
+        found, row = _quantile_passes(base, cols, probs, task_rows, extra)
+        rows = found.collect()  # columns x probs numbers
+    return df.sparkSession.createDataFrame(rows, "name string, prob double, value double"), row
+
+
+def _quantile_passes(base: DataFrame, cols: list[str], probs: tuple[float, ...], task_rows: int, extra: tuple):
+    accuracy = config.SKETCH_ACCURACY if not base.is_cached else config.SKETCH_ACCURACY // 10
+    margin = 2.0 / accuracy
+    around = [min(1.0, max(0.0, q)) for p in probs for q in (p - margin, p + margin)]
+    row = base.agg(
+        *[F.count(c).alias(f"n_{c}") for c in cols], *[F.percentile_approx(c, around, accuracy).alias(f"q_{c}") for c in cols], *extra
+    ).first()
+    n = {c: row[f"n_{c}"] for c in cols}
+    if sum(n.values()) <= min(task_rows, 200_000):
+        return _in_one_pass(base, cols, probs, []), row
+    at = {}  # (column, prob) -> [lo, hi, rows below lo, rows up to hi]
+    for c in cols:
+        for i, p in enumerate(probs):
+            if n[c]:
+                at[c, p] = [row[f"q_{c}"][2 * i], row[f"q_{c}"][2 * i + 1], 0, n[c]]
+    for _ in range(6):
+        pending = list(at)
+        counts = base.agg(
+            *[a for j, k in enumerate(pending) for a in (F.count_if(F.col(k[0]) < at[k][0]).alias(f"l{j}"), F.count_if(F.col(k[0]) <= at[k][1]).alias(f"u{j}"))]
+        ).first()
+        wide = []
+        for j, k in enumerate(pending):
+            h = k[1] * (n[k[0]] - 1)
+            lo, hi = at[k][0], at[k][1]
+            at[k][2:] = [counts[f"l{j}"], counts[f"u{j}"]]
+            if counts[f"l{j}"] > math.floor(h) or counts[f"u{j}"] <= math.ceil(h):
+                at[k][:2] = [-INF, INF]  # the sketch missed: start over from the whole column
+                wide.append(k)
+            elif lo < hi and counts[f"u{j}"] - counts[f"l{j}"] > task_rows and h >= 0:
+                wide.append(k)
+        if not wide:
+            break
+        again = {}
+        for k in wide:
+            lo, hi, below, upto = at[k]
+            if lo == -INF:
+                below, upto = 0, n[k[0]]
+            pos = (k[1] * (n[k[0]] - 1) - below) / max(upto - below - 1, 1)
+            again[k] = [min(1.0, max(0.0, pos - margin)), min(1.0, max(0.0, pos + margin))]
+        inner = base.agg(
+            *[F.percentile_approx(F.when(F.col(k[0]).between(at[k][0], at[k][1]), F.col(k[0])), again[k], accuracy).alias(f"r{j}") for j, k in enumerate(wide)]
+        ).first()
+        for j, k in enumerate(wide):
+            lo, hi = inner[f"r{j}"]
+            at[k][:2] = [at[k][0] if again[k][0] == 0.0 else lo, at[k][1] if again[k][1] == 1.0 else hi]
+    spark = base.sparkSession
+    settled = [(c, float(p), float(lo)) for (c, p), (lo, hi, _, _) in at.items() if lo == hi]
+    out = spark.createDataFrame(settled, "name string, prob double, value double")
+    open_ = {k: v for k, v in at.items() if v[0] < v[1]}
+    if not open_:
+        return out, row
+    inside = {k: F.col(k[0]).between(v[0], v[1]) for k, v in open_.items()}
+    cells = [
+        F.when(inside[c, p], F.struct(F.lit(c).alias("name"), F.lit(float(p)).alias("prob"), F.lit(v[2]).cast("bigint").alias("below"), F.lit(n[c]).cast("bigint").alias("n"), F.col(c).alias("value")))
+        for (c, p), v in open_.items()
+    ]
+    few = base.filter(reduce(lambda x, y: x | y, inside.values()))  # most rows lie in no bracket
+    counted = few.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("name", "prob", "below", "n", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    win = Window.partitionBy("name", "prob").orderBy("value")
+    return out.unionByName(_interpolate(counted.withColumn("upto", F.sum("cnt").over(win)), [])), row
+
+
 def _in_one_pass(df: DataFrame, cols: list[str], probs: tuple[float, ...], keys: list[str]) -> DataFrame:
     wanted = [float(p) for p in probs]
-    got = spread(df.select(*dict.fromkeys([*keys, *cols]))).groupBy(*keys).agg(
+    got = df.select(*dict.fromkeys([*keys, *cols])).groupBy(*keys).agg(
         *[F.percentile(F.col(c).cast("double"), wanted).alias(f"q_{i}") for i, c in enumerate(cols)]
     )
     cells = [
@@ -215,6 +292,11 @@ def _bracketed(df, cols, probs, keys, sizes, task_rows) -> DataFrame:
     return _interpolate(counted.withColumn("upto", F.sum("cnt").over(win)), keys)
 
 
+def quantiles_and_more(df: DataFrame, cols: list[str], probs: tuple[float, ...], extra: list) -> tuple[DataFrame, object]:
+    """Whole-column quantiles plus a row of further aggregates over the same (double) columns, sharing a scan."""
+    return _whole_columns(df, cols, probs, config.TASK_ROWS, tuple(extra))
+
+
 def quantile_map(df: DataFrame, cols: list[str], probs: tuple[float, ...]) -> dict[tuple[str, float], float]:
     """Quantiles of whole columns as a driver dict (columns x probs numbers)."""
     return {(r["name"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, probs).collect()}

@@ -41,27 +41,26 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = numeric_columns(df) if cols is None else cols
     num = _as_double(df, cols)
     one_or = lambda c, e: F.when(F.count(c) == 1, 0.0).otherwise(e)
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("name"),
-                F.count(c).alias("count"),
-                F.min(c).alias("min"),
-                F.max(c).alias("max"),
-                F.avg(c).alias("mean"),
-                one_or(c, F.stddev_samp(c)).alias("std"),
-                F.sum(c).alias("sum"),
-                one_or(c, F.var_samp(c)).alias("variance"),
-                F.bool_and(F.col(c) == F.round(F.col(c))).alias("int_like"),
-            )
-            for c in cols
-        ]
-    )
-    base = num.agg(parts.alias("p")).select(F.inline("p"))
-    quart = ordering.exact_quantiles(num, cols, (0.25, 0.5, 0.75))
+    moments = [
+        F.struct(
+            F.lit(c).alias("name"),
+            F.count(c).alias("count"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+            F.avg(c).alias("mean"),
+            one_or(c, F.stddev_samp(c)).alias("std"),
+            F.sum(c).alias("sum"),
+            one_or(c, F.var_samp(c)).alias("variance"),
+            F.bool_and(F.col(c) == F.round(F.col(c))).alias("int_like"),
+        ).alias(f"p_{c}")
+        for c in cols
+    ]
+    quart, row = ordering.quantiles_and_more(num, cols, (0.25, 0.5, 0.75), moments)
+    schema = "name string, count long, min double, max double, mean double, std double, sum double, variance double, int_like boolean"
+    base = df.sparkSession.createDataFrame([tuple(row[f"p_{c}"]) for c in cols], schema)
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
     wide = quart.groupBy("name").agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
-    return base.join(F.broadcast(wide), "name", "left")
+    return base.join(F.broadcast(wide), "name", "left")  # one row per column
 
 
 def value_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -70,38 +70,34 @@ def top_by_strength(table: DataFrame, measure: str, keys: list[str], n: int = 25
 def spearman_pairs(df: DataFrame, cols: list[str], min_rows: int = 8, task_rows: int | None = None) -> DataFrame:
     """(a, b, rho, n): Pearson on average ranks within the rows complete for the pair.
 
-    Equal pairs of values are counted first. When no column has gaps, every column is ranked once for
-    all its pairs; otherwise the ranks are redone on each pair's complete rows.
+    Columns without gaps are ranked once for all their pairs; a column with gaps is paired with them on its
+    own rows; two columns with gaps get their own ranks. Each group costs one join per column, then one
+    aggregation for all its pairs.
     """
-    num = df.select(*[tx.numeric(df, c).alias(c) for c in cols])
-    gaps = num.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols], F.count(F.lit(1)).alias("rows_all")).first()
+    num = spread(df.select(*[tx.numeric(df, c).alias(c) for c in cols]))
+    gaps = num.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols], F.count(F.lit(1)).alias("_rows")).first()
+    full = [c for c in cols if not gaps[c]]
+    holes = [c for c in cols if gaps[c]]
+    groups = [(full, [p for p in itertools.combinations(full, 2)])]
+    groups += [([h, *full], [tuple(sorted((h, f), key=cols.index)) for f in full]) for h in holes]
+    groups += [(list(p), [p]) for p in itertools.combinations(holes, 2)]
     out = None
-    shared = None
-    if not any(gaps[c] for c in cols):
-        shared = ordering.average_ranks(num, cols, task_rows)
-    for a, b in itertools.combinations(cols, 2):
-        rows = num.select(a, b) if shared is not None else num.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        ranks = shared if shared is not None else ordering.average_ranks(rows, [a, b], task_rows)
-        one = _rank_correlation(rows, ranks, a, b, gaps["rows_all"])
-        out = one if out is None else out.unionByName(one)
+    for members, pairs in groups:
+        if pairs:
+            one = _rank_correlations(num.select(*members).na.drop(), members, pairs, gaps["_rows"], task_rows)
+            out = one if out is None else out.unionByName(one)
     return out.filter(F.col("n") >= min_rows)
 
 
-def _rank_correlation(rows: DataFrame, ranks: DataFrame, a: str, b: str, total: int) -> DataFrame:
-    joint = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("w"))
+def _rank_correlations(rows: DataFrame, members: list[str], pairs: list[tuple], total: int, task_rows: int | None) -> DataFrame:
+    ranks = ordering.average_ranks(rows, members, task_rows)
     heavy = max(config.BROADCAST_ROWS, total // 1000)
-    rank_of = lambda c, key, name: ranks.filter(F.col("name") == c).select(F.col("value").alias(key), F.col("rank").alias(name), "cnt")
-    placed = ordering.join_on_value(joint, rank_of(a, "x", "rx"), ["x"], heavy, total)
-    placed = ordering.join_on_value(placed, rank_of(b, "y", "ry"), ["y"], heavy, total)
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
-    s = placed.agg(
-        F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),
-        F.sum(w * rx * ry).alias("sxy"), F.sum(w * rx * rx).alias("sxx"), F.sum(w * ry * ry).alias("syy"),
-    )
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    return s.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(cov, F.sqrt(vx * vy)).alias("rho"), "n")
+    placed = rows
+    for c in members:
+        table = ranks.filter(F.col("name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"r_{c}"), "cnt")
+        placed = ordering.join_on_value(placed, table, [c], heavy, total).drop(c)
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"r_{a}", f"r_{b}").alias("rho"), F.count(F.lit(1)).alias("n")) for a, b in pairs]
+    return placed.agg(F.array(*cells).alias("p")).select(F.inline("p"))
 
 
 def with_p(pairs: DataFrame, measure: str) -> list[dict]:

@@ -44,27 +44,27 @@ def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
     values themselves.
     """
     num = spread(df.select(*[tx.numeric(df, c).alias(c) for c in cols]))
-    few = lambda c: F.when(F.count(c) < 20, F.array_agg(F.when(F.col("_small"), F.col(c))))
-    small = df.limit(20).count() < 20  # the sample list is only gathered for tables of under 20 rows
+    ends = num.agg(*[f for c in cols for f in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
+    small = df.limit(20).count() < 20  # the values themselves are only gathered for tables of under 20 rows
+    # three distinct values: something lies strictly between the smallest and the largest
+    between = lambda c: F.count_if((F.col(c) > ends[f"lo_{c}"]) & (F.col(c) < ends[f"hi_{c}"])) if ends[f"lo_{c}"] is not None else F.lit(0)
     cells = F.array(
         *[
             F.struct(
-                F.lit(c).alias("name"), F.count(c).alias("n"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"),
-                # three distinct values <=> something strictly between min and max; approximate count suffices beyond
-                F.approx_count_distinct(c).alias("levels"),
-                (few(c) if small else F.lit(None).cast("array<double>")).alias("sample"),
+                F.lit(c).alias("name"), F.count(c).alias("n"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), between(c).cast("bigint").alias("inner"),
+                (F.array_agg(c) if small else F.lit(None).cast("array<double>")).alias("sample"),
             )
             for c in cols
         ]
     )
-    base = num.withColumn("_small", F.lit(small)).agg(cells.alias("p")).select(F.inline("p")).filter("n >= 8 and levels >= 3")
+    base = num.agg(cells.alias("p")).select(F.inline("p")).filter("n >= 8 and inner > 0")
     n = F.col("n").cast("double")
     k2 = F.when(F.col("n") >= 20, k_squared(n, F.col("skew"), F.col("kurtosis")))
     out = base.withColumn("k2", k2).withColumn("test", F.when(F.col("n") >= 20, "dagostino_k2").otherwise("shapiro"))
     p = F.exp(-F.col("k2") / 2)
     if small:
         p = F.coalesce(p, _shapiro("sample"))
-    return out.withColumn("normality_p", p).withColumn("is_normal", F.col("normality_p") > 0.05).drop("levels", "sample")
+    return out.withColumn("normality_p", p).withColumn("is_normal", F.col("normality_p") > 0.05).drop("inner", "sample")
 
 
 @F.pandas_udf(T.DoubleType())

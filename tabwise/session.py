@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -49,11 +50,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner's size estimate is below 64 MB per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 64 * 1024 * 1024 * cores
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on inputs too small to be split by the reader; larger inputs are left as they are."""
-    sc = df.sparkSession.sparkContext
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(sc.defaultParallelism) if size <= 64 * 1024 * 1024 * sc.defaultParallelism else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+@contextmanager
+def several_passes(df: DataFrame):
+    """The frame for an algorithm that reads it several times: small ones spread and cached meanwhile."""
+    if not is_small(df):
+        yield df
+        return
+    kept = spread(df).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def side_by_side(jobs: list, threads: int = 4) -> list:
