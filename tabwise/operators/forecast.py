@@ -108,7 +108,8 @@ def forecast(series: DataFrame, by: tuple[str, ...] = (), horizon: int = config.
     def project(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("ts")
         if len(p) < min_points:
-            return pd.DataFrame({n: [] for n in names})
+            kinds = {"step": "int32", "date": "datetime64[us]", "yhat": "float64", "lower": "float64", "upper": "float64"}
+            return pd.DataFrame({n: pd.Series([], dtype=kinds.get(n, "object")) for n in names})
         yhat, margin = damped_forecast(p["y"].to_numpy(dtype=float), horizon)
         ts = pd.to_datetime(p["ts"])
         gap = ts.iloc[-1] - ts.iloc[-2]

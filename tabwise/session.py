@@ -77,4 +77,4 @@ def several_passes(df: DataFrame):
 def side_by_side(jobs: list, threads: int = 4) -> list:
     """Run independent driver calls (model fits, reports) at once; Spark shares the cluster among their jobs."""
     with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs)

@@ -68,9 +68,8 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") ->
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line of the file is valid UTF-8; checked line by line, no file is held whole."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    return not lines.filter(~F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string"))).head(1)
+    """Whether every line of the file is valid UTF-8; the text reader keeps the bytes, so lines are tested as read."""
+    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).head(1)
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None) -> LoadResult:
