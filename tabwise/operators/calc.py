@@ -63,23 +63,13 @@ def aggregate(df: DataFrame, contract: Contract, group_by: str, value: str | Non
     if agg == "count":
         out = rows.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("value"))
     elif agg == "median":
-        out = grouped_median(rows.select(key, tx.numeric(df, value).alias("x")))
+        out = ordering.group_medians(rows.select(key, tx.numeric(df, value).alias("x")), ["group"], "x")
     else:
         x = _SQL[agg](tx.numeric(df, value))
         out = rows.groupBy(key).agg((F.coalesce(x, F.lit(0.0)) if agg == "sum" else x).alias("value"))
     return out.orderBy(F.desc("value"), "group").limit(top).withColumn("token", F.lit(token))
 
 
-def grouped_median(rows: DataFrame) -> DataFrame:
-    """(group, value) for any number of groups: positions come from counted values, groups may be hot."""
-    few = rows.select("group").distinct().limit(10_001).count() <= 10_000
-    if few:
-        med = ordering.exact_quantiles(rows, ["x"], (0.5,), by=("group",))
-        return rows.select("group").distinct().join(med.select("group", "value"), "group", "left")
-    # more groups than any report lists: a group of more than n / 10 000 rows is rare and Spark spills it
-    return rows.groupBy("group").agg(F.percentile("x", 0.5).alias("value"))
-
-
 def top_categories(df: DataFrame, contract: Contract, column: str, n: int = 5) -> DataFrame:
     """Most frequent string forms; a missing value counts as a category here."""
     _field(contract, column)

@@ -266,7 +266,7 @@ def resample(rows: DataFrame, rule: str, agg: str) -> DataFrame:
     """(date, value): buckets of (ts, y); sums and counts give 0 for empty buckets, the rest skip them."""
     keyed = rows.select(bucket_start(F.col("ts"), rule).alias("date"), "y")
     if agg == "median":
-        return ordering.exact_quantiles(keyed, ["y"], (0.5,), by=("date",)).select("date", "value")
+        return ordering.group_medians(keyed, ["date"], "y")
     out = keyed.groupBy("date").agg(AGGREGATES[agg]("y").cast("double").alias("value"))
     if agg not in ("sum", "count"):
         return out.filter("value is not null")
@@ -293,7 +293,7 @@ def time_series(df: DataFrame, x: str, y: str, agg: str = "mean", threshold: int
     if rows.select("ts").distinct().count() == s["n"]:
         return rows.select(F.col("ts").alias("date"), F.col("y").alias("value"))
     if agg == "median":
-        return ordering.exact_quantiles(rows, ["y"], (0.5,), by=("ts",)).select(F.col("ts").alias("date"), "value")
+        return ordering.group_medians(rows, ["ts"], "y").withColumnRenamed("ts", "date")
     return rows.groupBy(F.col("ts").alias("date")).agg(AGGREGATES[agg]("y").cast("double").alias("value")).filter("value is not null")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwise import config
@@ -67,8 +67,10 @@ def fit_matrix(df: DataFrame, numeric: list[str], categorical: list[str] = (), s
         cells = [e for c in categorical for e in (F.lit(c), F.col(c).cast("string"))]
         found = df.select(F.stack(F.lit(len(categorical)), *cells).alias("c", "v")).filter("v is not null").distinct()
         per: dict[str, list[str]] = {}
-        # categorical columns hold at most 30 levels each by selection
-        for r in found.limit(len(categorical) * (config.ML_MAX_CAT_CARDINALITY + 1)).collect():
+        # one level more than allowed is enough to tell that a column has too many
+        order = Window.partitionBy("c").orderBy("v")
+        capped = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= config.ML_MAX_CAT_CARDINALITY + 1)
+        for r in capped.collect():
             per.setdefault(r["c"], []).append(r["v"])
         width = len(numeric)
         for c in sorted(per, key=lambda c: (len(per[c]), categorical.index(c))):

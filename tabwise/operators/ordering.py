@@ -292,6 +292,21 @@ def _bracketed(df, cols, probs, keys, sizes, task_rows) -> DataFrame:
     return _interpolate(counted.withColumn("upto", F.sum("cnt").over(win)), keys)
 
 
+def group_medians(rows: DataFrame, keys: list[str], col: str, task_rows: int | None = None) -> DataFrame:
+    """(keys..., value): exact median of every group, for any number of groups of any size.
+
+    Groups of at least ``task_rows`` rows are few (rows / task_rows at most) and take the bracketed way;
+    the others fit a task each and use Spark's exact percentile.
+    """
+    task_rows = task_rows or config.TASK_ROWS
+    big = rows.groupBy(*keys).agg(F.count(col).alias("_n")).filter(F.col("_n") >= task_rows).drop("_n")
+    if not big.head(1):
+        return rows.groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), 0.5).alias("value"))
+    small = rows.join(F.broadcast(big), keys, "left_anti").groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), 0.5).alias("value"))
+    large = exact_quantiles(rows.join(F.broadcast(big), keys, "left_semi"), [col], (0.5,), tuple(keys), task_rows, max_groups=1_000_000)
+    return small.unionByName(large.select(*keys, "value"))
+
+
 def quantiles_and_more(df: DataFrame, cols: list[str], probs: tuple[float, ...], extra: list) -> tuple[DataFrame, object]:
     """Whole-column quantiles plus a row of further aggregates over the same (double) columns, sharing a scan."""
     return _whole_columns(df, cols, probs, config.TASK_ROWS, tuple(extra))

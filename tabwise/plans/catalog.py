@@ -12,7 +12,8 @@ from tabwise.operators import roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_CONTRACTS: dict[tuple[str, str], tuple] = {}
+_CONTRACTS: dict[tuple[str, str], ct.Contract] = {}
+_PROFILES: dict[tuple[str, str], DataFrame] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -36,11 +37,19 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def profile_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Roled profile of a table as stored: one row per column, worked out once per session and folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{table}")
+    if key not in _PROFILES:
+        _PROFILES[key] = roles.classify(load(spark, sf_dir, table))
+    return _PROFILES[key]
+
+
 def fields_of(spark: SparkSession, sf_dir: str, table: str) -> ct.Contract:
     """Contract of a table as stored (no cleaning), worked out once per session and folder."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{table}")
     if key not in _CONTRACTS:
-        rows = ct.field_contracts(roles.classify(load(spark, sf_dir, table))).collect()
+        rows = ct.field_contracts(profile_of(spark, sf_dir, table)).collect()
         _CONTRACTS[key] = ct.Contract("", fields=ct.to_fields(rows))
     return _CONTRACTS[key]
 

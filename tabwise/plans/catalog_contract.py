@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabwise.functions import text as tx
 from tabwise.operators import clean, contract, critic, eda, forecast, profile, roles, stats, supervised
 from tabwise.plans import interact
-from tabwise.plans.catalog import load, query, rounded, sql_union, union_all
+from tabwise.plans.catalog import load, profile_of, query, rounded, sql_union, union_all
 from tabwise.plans.dashboard import quality_report
 
 # ---------------------------------------------------------------- the role rules once more, in SQL
@@ -136,7 +136,7 @@ def _field_rows(fields):
 
 @query("k3_fields", _FIELD_SQL("lineitem", TABLES["lineitem"]))
 def k3(spark, d):
-    return _field_rows(contract.field_contracts(roles.classify(load(spark, d, "lineitem"))))
+    return _field_rows(contract.field_contracts(profile_of(spark, d, "lineitem")))
 
 
 @query("k3_fields_mixed", _FIELD_SQL(_MIXED, _MIXED_COLS))
@@ -151,12 +151,12 @@ def f11(spark, d):
 
 @query("a23_role_counts", f"WITH {roles_ctes('events', TABLES['events'])} SELECT role, count(*) AS n FROM rl GROUP BY 1")
 def a23(spark, d):
-    return roles.role_counts(roles.classify(load(spark, d, "events")))
+    return roles.role_counts(profile_of(spark, d, "events"))
 
 
 @query("a19_dataset_kind", f"WITH {roles_ctes('events', TABLES['events'])} SELECT CASE WHEN avg((role = 'identifier')::INT) > 0.3 THEN 'entity-level' WHEN bool_or(role = 'datetime') AND bool_or(role = 'numeric') THEN 'event-level' WHEN avg((role = 'numeric')::INT) > 0.4 THEN 'event-level' ELSE 'entity-level' END AS grain_kind FROM rl")
 def a19(spark, d):
-    return roles.dataset_kind(roles.classify(load(spark, d, "events")))
+    return roles.dataset_kind(profile_of(spark, d, "events"))
 
 
 @query("a22_dispersion", "SELECT 'heavy' AS column, round(abs(stddev_samp(x) / avg(x)), 6) AS ratio FROM (SELECT pow(value, 6) AS x FROM events) HAVING abs(stddev_samp(x) / avg(x)) >= 3")
@@ -193,7 +193,7 @@ def k5(spark, d):
 @query("f12_fingerprint", sql_union(
     f"""WITH {roles_ctes(t, TABLES[t])} SELECT '{t}' AS tbl, sha256('[' || string_agg('["' || name || '","' || dtype || '","' || role || '"]', ',' ORDER BY name) || ']') AS fingerprint FROM rl""" for t in ("events",)))
 def f12(spark, d):
-    fields = roles.classify(load(spark, d, "events")).select("name", "dtype", "role")
+    fields = profile_of(spark, d, "events").select("name", "dtype", "role")
     return contract.schema_fingerprint(fields).withColumn("tbl", F.lit("events"))
 
 
@@ -207,7 +207,7 @@ _OV = "(VALUES ('l_linenumber', 'identifier', NULL), ('l_discount', 'numeric', '
     SELECT name, role, domain, aggregation, is_identifier, is_year, is_ratio, aggs AS aggregations, charts FROM j JOIN allowed ON k = CASE WHEN role = 'numeric' AND aggregation = 'additive' THEN 'numeric_additive' ELSE role END""",
 )
 def k7(spark, d):
-    fields = contract.field_contracts(roles.classify(load(spark, d, "lineitem")))
+    fields = contract.field_contracts(profile_of(spark, d, "lineitem"))
     ov = spark.createDataFrame([("l_linenumber", "identifier", None, None), ("l_discount", "numeric", "measure", None), ("l_orderkey", "identifier", "dimension", None)], "name string, role string, domain string, sensitivity string")
     return _field_rows(contract.override_fields(fields, ov))
 
@@ -228,12 +228,12 @@ def k9(spark, d):
 @query("k16_arbitration", f"""WITH {roles_ctes('part', TABLES['part'])} SELECT name, role AS old_role, CASE WHEN name = 'p_partkey' THEN role WHEN name = 'p_size' THEN 'categorical' WHEN name = 'p_type' THEN 'text' ELSE role END AS role, name IN ('p_size', 'p_type') AS changed FROM rl""")
 def k16(spark, d):
     wanted = spark.createDataFrame([("p_partkey", "numeric"), ("p_size", " Categorical "), ("p_type", "text"), ("p_retailprice", "magic")], "name string, role string")
-    return contract.role_overrides_allowed(roles.classify(load(spark, d, "part")), wanted, contract.KEY_NAME).select("name", "old_role", "role", "changed")
+    return contract.role_overrides_allowed(profile_of(spark, d, "part"), wanted, contract.KEY_NAME).select("name", "old_role", "role", "changed")
 
 
 @query("k16_candidates", f"WITH {roles_ctes('part', TABLES['part'])} SELECT name FROM rl WHERE role IN ('identifier','text') OR (role = 'numeric' AND uniq <= 30)")
 def k16_candidates(spark, d):
-    return contract.role_candidates(roles.classify(load(spark, d, "part"))).select("name")
+    return contract.role_candidates(profile_of(spark, d, "part")).select("name")
 
 
 @query("c19_redaction", "SELECT 'c_name' AS name, count(c_name) AS count, NULL::DOUBLE AS max, 0 AS shown, true AS redacted FROM customer UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), NULL, 5, false FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal), max(c_acctbal), 5, false FROM customer")
@@ -293,7 +293,7 @@ def f3(spark, d):
 
 @query("f10_identifier_confidence", f"WITH {roles_ctes('customer', TABLES['customer'])} SELECT name, round(id_conf, 6) AS id_confidence, id_conf > 0.65 AS is_identifier FROM rl")
 def f10(spark, d):
-    out = roles.classify(load(spark, d, "customer"))
+    out = profile_of(spark, d, "customer")
     return rounded(out.select("name", "id_confidence", (F.col("id_confidence") > roles.IDENTIFIER_BAR).alias("is_identifier")), id_confidence=6)
 
 
@@ -377,7 +377,7 @@ def w11(spark, d):
     SELECT id, chart_type, intent, x_field, y_field, agg_func, priority FROM u ORDER BY priority, seq LIMIT 20""",
 )
 def w12(spark, d):
-    return eda.chart_specs(roles.classify(load(spark, d, "lineitem")), eda.settle_insights(spark, [])).drop("seq")
+    return eda.chart_specs(profile_of(spark, d, "lineitem"), eda.settle_insights(spark, [])).drop("seq")
 
 
 @query("a15_key_indicators", "SELECT 'Average order_total' AS indicator, printf('%.2f', avg(o_totalprice)) AS value, 'average' AS type FROM orders UNION ALL SELECT 'Variability in order_total', printf('%.2f', stddev_samp(o_totalprice)), 'variability' FROM orders "
@@ -391,37 +391,37 @@ def a15(spark, d):
 @query("k14_use_cases", f"WITH {roles_ctes('orders', TABLES['orders'])} SELECT 'Segmentation Analysis' AS use_case, string_agg(name, ',' ORDER BY name) FILTER (WHERE role IN ('numeric','categorical')) AS key_inputs FROM rl "
        "UNION ALL SELECT 'Time Series Analysis', string_agg(name, ',' ORDER BY name) FILTER (WHERE role IN ('numeric','datetime')) FROM rl UNION ALL SELECT 'Performance Metrics Dashboard', string_agg(name, ',' ORDER BY name) FILTER (WHERE role = 'numeric') FROM rl")
 def k14(spark, d):
-    return eda.use_cases(roles.classify(load(spark, d, "orders"))).withColumn("key_inputs", F.array_join("key_inputs", ","))
+    return eda.use_cases(profile_of(spark, d, "orders")).withColumn("key_inputs", F.array_join("key_inputs", ","))
 
 
 @query("k14_recommendations", f"WITH {roles_ctes('orders', TABLES['orders'])} SELECT 'Correlation Analysis' AS title, 'high' AS priority FROM rl HAVING count_if(role = 'numeric') >= 2 UNION ALL SELECT 'Group Comparisons', 'medium' FROM rl HAVING bool_or(role = 'categorical') AND bool_or(role = 'numeric')")
 def k14_rec(spark, d):
-    return eda.recommendations(roles.classify(load(spark, d, "orders")))
+    return eda.recommendations(profile_of(spark, d, "orders"))
 
 
 @query("t15_eligible", f"WITH {roles_ctes('lineitem', TABLES['lineitem'])} SELECT name, 'numeric' AS use FROM rl WHERE role <> 'identifier' AND kind IN ('int','float','bool') UNION ALL SELECT name, 'categorical' FROM rl WHERE role IN ('categorical','boolean') AND uniq BETWEEN 2 AND 50")
 def t15(spark, d):
-    return stats.eligible_columns(roles.classify(load(spark, d, "lineitem")))
+    return stats.eligible_columns(profile_of(spark, d, "lineitem"))
 
 
 @query("t13_driver_target", f"WITH {roles_ctes('lineitem', TABLES['lineitem'])} SELECT name FROM rl WHERE role = 'numeric' AND list_contains(tags, 'additive') AND uniq >= 5 ORDER BY variance DESC LIMIT 1")
 def t13_target(spark, d):
-    return stats.driver_target(roles.classify(load(spark, d, "lineitem")))
+    return stats.driver_target(profile_of(spark, d, "lineitem"))
 
 
 @query("m1_target", f"WITH {roles_ctes('lineitem', TABLES['lineitem'])} SELECT name, 'classification' AS task FROM rl WHERE role IN ('categorical','boolean') AND uniq = 2 ORDER BY role <> 'boolean', position LIMIT 1")
 def m1(spark, d):
-    return supervised.pick_target(roles.classify(load(spark, d, "lineitem")))
+    return supervised.pick_target(profile_of(spark, d, "lineitem"))
 
 
 @query("m1_target_regression", f"WITH {roles_ctes('orders', TABLES['orders'])} SELECT name, 'regression' AS task FROM rl WHERE role = 'numeric' AND uniq >= 10 ORDER BY variance DESC LIMIT 1")
 def m1_reg(spark, d):
-    return supervised.pick_target(roles.classify(load(spark, d, "orders")))
+    return supervised.pick_target(profile_of(spark, d, "orders"))
 
 
 @query("m14_forecast_columns", f"WITH {roles_ctes('events', TABLES['events'])} SELECT (SELECT name FROM rl WHERE role = 'datetime' ORDER BY position LIMIT 1) AS date_column, (SELECT name FROM rl WHERE role = 'numeric' AND kind IN ('int','float') AND uniq >= 5 ORDER BY variance DESC LIMIT 1) AS measure")
 def m14(spark, d):
-    return forecast.pick_columns(roles.classify(load(spark, d, "events")))
+    return forecast.pick_columns(profile_of(spark, d, "events"))
 
 
 @query("j3_merge_specs", "WITH a AS (SELECT DISTINCT 'scatter' AS intent, p_type AS x_field, p_brand AS y_field FROM part WHERE p_size > 25), b AS (SELECT DISTINCT 'scatter' AS intent, p_type AS x_field, p_brand AS y_field FROM part) SELECT *, 0 AS tier FROM a UNION ALL SELECT *, 1 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -478,7 +478,7 @@ def k11(spark, d):
 
 @query("k6_router", f"WITH {contract_ctes('events', TABLES['events'])} SELECT name, role_out = 'numeric' AND NOT is_year AS correlatable, NOT is_year AND NOT is_ratio AND role <> 'identifier' AND contains(',' || aggs || ',', ',sum,') AS can_sum FROM fc JOIN allowed ON k = CASE WHEN role_out = 'numeric' AND aggregation = 'additive' THEN 'numeric_additive' ELSE role_out END")
 def k6(spark, d):
-    fields = contract.to_fields(contract.field_contracts(roles.classify(load(spark, d, "events"))).collect())
+    fields = contract.to_fields(contract.field_contracts(profile_of(spark, d, "events")).collect())
     return spark.createDataFrame([(f.name, f.is_correlatable, f.can_sum) for f in fields.values()], "name string, correlatable boolean, can_sum boolean")
 
 

@@ -39,6 +39,13 @@ def test_grouped_quantiles(spark, skewed, task_rows):
     assert got == pytest.approx(pdf.groupby("g").v.median().to_dict())
 
 
+@pytest.mark.parametrize("task_rows", [300, 10**6])
+def test_group_medians(spark, skewed, task_rows):
+    pdf = skewed.assign(g=np.where(skewed.id % 3 == 0, "hot", (skewed.id % 50).astype(str)))
+    got = {r["g"]: r["value"] for r in ordering.group_medians(table(spark, pdf), ["g"], "v", task_rows).collect()}
+    assert got == pytest.approx(pdf.groupby("g").v.median().to_dict())
+
+
 @pytest.mark.parametrize("task_rows", [100, 10**6])
 @pytest.mark.parametrize("parts", [1, 16])
 def test_average_ranks(spark, skewed, task_rows, parts):
