@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from tabwise import config
 from tabwise.functions import text as tx
 from tabwise.operators import profile as pf
+from tabwise.session import is_small
 
 # Share of each signal that counts as evidence, and the bar an identifier must clear.
 UUID_WEIGHT, STEP1_WEIGHT, VERY_HIGH_WEIGHT, LOW_VARIANCE_WEIGHT = 1.0, 0.98, 0.92, 0.88
 HIGH_WEIGHT, NAME_WEIGHT, MODERATE_WEIGHT, IDENTIFIER_BAR = 0.85, 0.70, 0.4, 0.65
 
 
-def signal_table(df: DataFrame, max_cols: int = config.MAX_COLS) -> DataFrame:
+def signal_table(df: DataFrame, max_cols: int = config.MAX_COLS, table: DataFrame | None = None) -> DataFrame:
     """Profile joined with every signal the role rules read; a fixed number of jobs for all columns."""
     cols = pf.profiled_columns(df, max_cols)
-    table = pf.value_table(df, cols)
+    table = pf.value_table(df, cols) if table is None else table
     base = pf.syntactic_profile(df, max_cols, table)
     texts = [c for c in cols if pf.kind_of(df, c) == "object"]
     if texts:
@@ -151,8 +152,18 @@ def with_confidence(roled: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, max_cols: int = config.MAX_COLS) -> DataFrame:
-    """The roled profile, computed once: at most ``max_cols`` rows, so later stages read a local table."""
-    return settle(with_roles(signal_table(df, max_cols)))
+    """The roled profile, computed once: at most ``max_cols`` rows, so later stages read a local table.
+
+    The value table of a small input is cached meanwhile; for a large one its readers share the shuffle.
+    """
+    table = pf.value_table(df, pf.profiled_columns(df, max_cols))
+    if not is_small(df):
+        return settle(with_roles(signal_table(df, max_cols, table)))
+    table.persist()
+    try:
+        return settle(with_roles(signal_table(df, max_cols, table)))
+    finally:
+        table.unpersist()
 
 
 def settle(table: DataFrame) -> DataFrame:
