@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import decontaminate, sharding, simhash
+from tabwise.llm import decontaminate, licences, line_dedup, packing, secrets, sharding, simhash, suffix_dedup, topk, toxicity
 from tabwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,17 +24,114 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op3_shards")
 def op3(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_topk", OP4_SQL)
+def op4(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _duck_spans(kind: str, order: int, pattern: str, least: int = 1, group: int = 0) -> str:
+    text = "coalesce(text, '')"
+    return f"""
+SELECT doc_id, {order} AS ord, '{kind}' AS kind, a, a + length(hits[i]) AS b FROM (
+  SELECT doc_id, hits, parts, i, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all({text}, '{pattern}', 0) AS hits, regexp_extract_all({text}, '{pattern}', {group}) AS parts, string_split_regex({text}, '{pattern}') AS gaps FROM documents)))
+WHERE length(parts[i]) >= {least}"""
+
+
+OP5_SQL = (
+    "WITH spans AS ("
+    + " UNION ALL ".join(
+        [
+            _duck_spans("assign", 0, """(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+            _duck_spans("access", 1, "AKIA[A-Z0-9]+", 20),
+            _duck_spans("hex", 2, "[0-9a-f]+", 24),
+            _duck_spans("pem", 3, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+        ]
+    )
+    + """)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, ord) FILTER (ord < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, ord), '') AS spans
+FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+)
+
+
+@query("op5_secrets", OP5_SQL)
+def op5(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_simhash")
 def op7(spark, sf_dir):
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op8_licences")
+def op8(spark, sf_dir):
+    """Documents lie in the folder of their language, that in the folder of their source."""
+    return licences.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+OP9_SQL = """
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS l FROM documents),
+win AS (
+  SELECT doc_id, s, 2 AS n, l[s + 1:s + 2] AS w FROM (SELECT doc_id, l, unnest(range(0, len(l) - 1)) AS s FROM doc WHERE len(l) > 1)
+  UNION ALL
+  SELECT doc_id, s, 1, l[s + 1:s + 1] FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS s FROM doc) WHERE length(l[s + 1]) - length(replace(l[s + 1], ' ', '')) + 1 >= 50),
+firsts AS (SELECT w, min((doc_id, s)) AS f FROM win GROUP BY w HAVING count(*) > 1),
+later AS (SELECT doc_id, s, n FROM win JOIN firsts USING (w) WHERE doc_id <> f[1] OR s >= f[2] + n),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM later),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_runs FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS t FROM (SELECT doc_id, l[p + 1] AS x, p FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS p FROM doc)) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9(spark, sf_dir):
+    left = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP10_SQL = r"""
 WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, w[i:i + least(len(w), 10) - 1] AS x FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item WHERE len(w) > 0)),
