@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # fixed value: digest of no bytes
+CHUNK = 256  # texts shown to a function at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def add_columns(df: DataFrame, source: str, make, ddl: str, drop_source: bool = True) -> DataFrame:
     """``df`` with further columns worked out from the bytes of its ``source`` text, batch by batch.
 
-    ``make()`` runs once per task and returns a function from one text (bytes; null: None) to a tuple of the
-    values that ``ddl`` names, or to a list of such tuples when the ddl's rows are many (see ``explode_rows``).
+    ``make()`` runs once per task and returns a function from one text (bytes; null: None) to a tuple of the values
+    that ``ddl`` names. If that function has an attribute ``prepare``, it is shown ``CHUNK`` texts at a time before
+    they are asked for one by one.
     """
     fields = T.StructType.fromDDL(ddl).fields
     kept = [f for f in df.schema.fields if not (drop_source and f.name == source)]
@@ -30,7 +31,7 @@ def add_columns(df: DataFrame, source: str, make, ddl: str, drop_source: bool =
     def run(batches):
         one = make()
         for batch in batches:
-            rows = [one(x) for x in batch.column("__bytes").to_pylist()]
+            rows = [row for _, row in _each(one, batch.column("__bytes").to_pylist())]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in kept_names] + [pa.array(c, t) for c, t in zip(columns, types)], names=kept_names + names
@@ -39,6 +40,17 @@ def add_columns(df: DataFrame, source: str, make, ddl: str, drop_source: bool =
     return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(source).cast("binary").alias("__bytes")).mapInArrow(run, schema)
 
 
+def _each(one, texts: list):
+    """(position, result) of each text, chunks of them shown to ``one.prepare`` first."""
+    prepare = getattr(one, "prepare", None)
+    for at in range(0, len(texts), CHUNK):
+        part = texts[at : at + CHUNK]
+        if prepare:
+            prepare(part)
+        for i, x in enumerate(part, at):
+            yield i, one(x)
+
+
 def explode_rows(df: DataFrame, keep: list[str], source: str, make, ddl: str, batch_rows: int = 50_000) -> DataFrame:
     """Like ``add_columns`` for functions that return any number of rows per text; only ``keep`` is carried along."""
     fields = T.StructType.fromDDL(ddl).fields
@@ -55,8 +67,7 @@ def explode_rows(df: DataFrame, keep: list[str], source: str, make, ddl: str, ba
                 cols = [batch.column(k).take(pa.array(at, pa.int64())) for k in keep]
                 return pa.RecordBatch.from_arrays(cols + [pa.array(c, t) for c, t in zip(zip(*out), types)], names=keep + names)
 
-            for i, x in enumerate(batch.column("__bytes").to_pylist()):
-                rows = one(x)
+            for i, rows in _each(one, batch.column("__bytes").to_pylist()):
                 out += rows
                 at += [i] * len(rows)
                 if len(out) >= batch_rows:
