@@ -1,8 +1,8 @@
 """Tunable settings and fixed values used across the package."""
 
 # ---- Fixed values: thresholds and caps that define the results -----------------------------------
-MAX_ROWS = 500_000
-MAX_COLS = 50
+# Columns a profile is limited to; None: all of them.
+MAX_COLS: int | None = None
 MAX_CATEGORIES = 10
 MAX_CHARTS = 20
 KPI_TOP_K = 10
@@ -25,7 +25,6 @@ MAX_UPLOAD_COLS = 512
 MAX_UPLOAD_ROWS = 1_048_576
 NULL_ROW_FRACTION = 1.0
 NUMERIC_COERCE_FRACTION = 0.95
-PII_SAMPLE_ROWS = 200
 CRITIC_ID_UNIQUE_RATIO = 0.99
 CRITIC_TOTAL_TOLERANCE = 0.01
 CRITIC_SHARE_SUM_TOLERANCE = 0.02

@@ -122,11 +122,11 @@ def box_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     rows = df.select(F.col(x).cast("string").alias("category"), tx.finite(tx.numeric(df, y)).alias("y")).filter("category is not null and y is not null")
     groups = len(rows.select("category").distinct().limit(MAX_GROUPS_SHOWN + 1).collect())
+    if not 2 <= groups <= MAX_GROUPS_SHOWN:  # no chart: nothing is worked out for the groups
+        rows = rows.limit(0)
     q = ordering.exact_quantiles(rows, ["y"], (0.25, 0.5, 0.75), by=("category",))
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
     quart = q.groupBy("category").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
-    if not 2 <= groups <= MAX_GROUPS_SHOWN:
-        quart = quart.limit(0)
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("y").between(lo, hi)
     return (
@@ -278,7 +278,7 @@ def resample(rows: DataFrame, rule: str, agg: str) -> DataFrame:
 def time_series(df: DataFrame, x: str, y: str, agg: str = "mean", threshold: int = config.DENSITY_THRESHOLD, clip: Clip | None = None) -> DataFrame | None:
     """(date, value), clipped, resampled beyond ``threshold`` points, else grouped by equal timestamps."""
     agg = agg.lower() if agg.lower() in AGGREGATES else "mean"
-    rows = df.select(F.col(x).alias("ts"), tx.numeric(df, y).alias("y")).filter("ts is not null and y is not null")
+    rows = tx.typed_dates(df, [x]).select(F.col(x).alias("ts"), tx.numeric(df, y).alias("y")).filter("ts is not null and y is not null")
     clip = clip_bounds(rows, ["y"])["y"] if clip is None else clip
     rows = rows.withColumn("y", clip.apply(F.col("y")))
     s = rows.agg(
@@ -348,27 +348,38 @@ def default_charts(df: DataFrame, roled_rows: list) -> list[dict]:
     return [c for c in out if c["data"] is not None]
 
 
-def build_charts(df: DataFrame, specs: list[dict], max_charts: int = config.MAX_CHARTS) -> list[dict]:
-    """Chart data per spec: known intents only, unique ids, at most ``max_charts``, tagged with a section."""
+def chart_data(df: DataFrame, intent: str, x: str, y: str | None, agg: str | None = None) -> DataFrame | None:
+    """The data of a chart; None for intents that are not known or have nothing to show."""
+    if intent == "category_count":
+        return category_counts(df, x)
+    if intent in ("histogram", "distribution"):
+        return histogram(df, x)[1]
+    if intent in ("category_summary", "group_comparison"):
+        return category_summary(df, x, y, agg or "mean")
+    if intent == "time_series":
+        return time_series(df, x, y, agg or "mean")
+    if intent == "scatter":
+        return scatter(df, x, y)[1]
+    return None
+
+
+def build_charts(df: DataFrame, specs: list[dict], max_charts: int = config.MAX_CHARTS, failed: list | None = None) -> list[dict]:
+    """Chart data per spec: known intents only, unique ids, at most ``max_charts``, tagged with a section. Specs whose
+    chart raised are put into ``failed`` with the reason."""
+    failed = [] if failed is None else failed
     out, seen = [], set()
     for spec in specs:
         intent, x, y, sid = spec.get("intent"), spec.get("x_field"), spec.get("y_field"), spec.get("id")
         needed = [c for c in (x, y) if c]
         if len(out) >= max_charts or sid in seen or any(c not in df.columns for c in needed):
             continue
-        if intent == "category_count":
-            data = category_counts(df, x)
-        elif intent in ("histogram", "distribution"):
-            data = histogram(df, x)[1]
-        elif intent in ("category_summary", "group_comparison"):
-            data = category_summary(df, x, y, spec.get("agg_func") or "mean")
-        elif intent == "time_series":
-            data = time_series(df, x, y, spec.get("agg_func") or "mean")
-        elif intent == "scatter":
-            data = scatter(df, x, y)[1]
-        else:
+        try:
+            data = chart_data(df, intent, x, y, spec.get("agg_func"))
+            filled = data is not None and bool(data.head(1))
+        except Exception as e:  # one chart that fails takes no other along
+            failed.append({**spec, "error": f"{type(e).__name__}: {str(e)[:200]}"})
             continue
-        if data is not None and data.head(1):
+        if filled:
             out.append({**spec, "section": SECTIONS.get(intent, "Other"), "data": data})
             seen.add(sid)
     return out

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tabwise import config
 from tabwise.operators import charts, stats
 
-MAX_POINTS = 200_000  # longest series one task fits; longer ones are averaged into wider buckets first
 
 
 def pick_columns(roled: DataFrame) -> DataFrame:
@@ -84,24 +83,13 @@ def damped_forecast(y: np.ndarray, horizon: int = config.FORECAST_HORIZON) -> tu
     return yhat, 1.96 * float(np.std(resid)) * np.sqrt(steps)
 
 
-def widen(series: DataFrame, by: list[str]) -> DataFrame:
-    """Series too long for one task are averaged to hours, days or weeks; none of their points is dropped."""
-    longest = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    for rule in ("H", "D", "W"):
-        if longest <= MAX_POINTS:
-            return series
-        series = series.groupBy(*by, charts.bucket_start(F.col("ts"), rule).alias("ts")).agg(F.avg("y").alias("y"))
-        longest = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return series
-
-
 def forecast(series: DataFrame, by: tuple[str, ...] = (), horizon: int = config.FORECAST_HORIZON, min_points: int = config.FORECAST_MIN_POINTS) -> DataFrame:
     """(by..., step, date, yhat, lower, upper): per series of at least ``min_points`` (ts, y) points.
 
-    Dates go on at the last observed step.
+    Dates go on at the last observed step. Smoothing runs through a series point by point, so each series is one
+    task's work whatever its length; many series are spread over the cluster.
     """
     keys = list(by)
-    series = widen(series, keys)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields if f.name in keys], "step int, date timestamp_ntz, yhat double, lower double, upper double"])
     names = [*keys, "step", "date", "yhat", "lower", "upper"]
 

@@ -171,7 +171,7 @@ def lof_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pid, label): smallest id of each component, by alternating star contraction.
 
     Every round links a node's neighbours to the smallest one. Hub nodes (the centres of large
@@ -180,7 +180,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     e = cut_lineage(e)
     seen = None
-    for _ in range(max_rounds):
+    while True:  # every round lowers some label; ends when none changes
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         e = _star(both, larger_only=True)
         e = cut_lineage(_star(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), larger_only=False))
@@ -206,15 +206,13 @@ def _star(e: DataFrame, larger_only: bool) -> DataFrame:
     return linked.filter("u != v").distinct()
 
 
-def density_groups(points: DataFrame, cols: list[str], key: str, min_size: int | None = None) -> DataFrame:
+def density_groups(points: DataFrame, cols: list[str], key: str, min_size: int = 20) -> DataFrame:
     """(pid, copies, label): density groups, label null for noise.
 
-    Core distance = distance to the ``min_size``-th row; links of mutual reach up to the 0.95 quantile of
+    Core distance = distance to the ``min_size``-th row, at every table size; links of mutual reach up to the 0.95 quantile of
     the core distances form components; points beyond it and small components are noise.
     """
-    n = points.count()
-    min_size = min_size or max(5, n // 50)
-    k = min(min_size, 30, n - 1)
+    k = min(min_size, points.count() - 1)
     near = cut_lineage(nearest_neighbors(points, cols, key, k))
     core = near.groupBy("pid", "copies").agg(F.max("d").alias("core"))
     eps = ordering.exact_quantiles(core, ["core"], (0.95,)).first()["value"]

@@ -23,7 +23,7 @@ def kind_of(df: DataFrame, col: str) -> str:
     return _KINDS.get(name, "other")
 
 
-def profiled_columns(df: DataFrame, max_cols: int = config.MAX_COLS) -> list[str]:
+def profiled_columns(df: DataFrame, max_cols: int | None = config.MAX_COLS) -> list[str]:
     return df.columns[:max_cols]
 
 

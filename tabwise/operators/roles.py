@@ -11,7 +11,7 @@ from tabwise.operators import profile as pf
 from tabwise.session import is_small
 
 # Share of each signal that counts as evidence, and the bar an identifier must clear.
-UUID_WEIGHT, STEP1_WEIGHT, VERY_HIGH_WEIGHT, LOW_VARIANCE_WEIGHT = 1.0, 0.98, 0.92, 0.88
+UUID_WEIGHT, STEP1_WEIGHT, VERY_HIGH_WEIGHT = 1.0, 0.98, 0.92
 HIGH_WEIGHT, NAME_WEIGHT, MODERATE_WEIGHT, IDENTIFIER_BAR = 0.85, 0.70, 0.4, 0.65
 
 

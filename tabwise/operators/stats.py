@@ -44,15 +44,15 @@ def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
     values themselves.
     """
     num = spread(df.select(*[tx.numeric(df, c).alias(c) for c in cols]))
-    ends = num.agg(*[f for c in cols for f in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
-    small = df.limit(20).count() < 20  # the values themselves are only gathered for tables of under 20 rows
+    ends = num.agg(*[f for c in cols for f in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.count(c).alias(f"n_{c}"))]).first()
+    small = [c for c in cols if ends[f"n_{c}"] < 20]  # the values themselves are only gathered for columns of under 20
     # three distinct values: something lies strictly between the smallest and the largest
     between = lambda c: F.count_if((F.col(c) > ends[f"lo_{c}"]) & (F.col(c) < ends[f"hi_{c}"])) if ends[f"lo_{c}"] is not None else F.lit(0)
     cells = F.array(
         *[
             F.struct(
                 F.lit(c).alias("name"), F.count(c).alias("n"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), between(c).cast("bigint").alias("inner"),
-                (F.array_agg(c) if small else F.lit(None).cast("array<double>")).alias("sample"),
+                (F.array_agg(c) if c in small else F.lit(None).cast("array<double>")).alias("sample"),
             )
             for c in cols
         ]
@@ -77,7 +77,7 @@ def _shapiro(samples: pd.Series) -> pd.Series:
 
 def mean_series(df: DataFrame, ts: str, measure: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., ts, y): mean of the measure per timestamp, missing values dropped."""
-    rows = df.select(*by, F.col(ts).alias("ts"), tx.numeric(df, measure).alias("y")).filter("ts is not null and y is not null")
+    rows = tx.typed_dates(df, [ts]).select(*by, F.col(ts).alias("ts"), tx.numeric(df, measure).alias("y")).filter("ts is not null and y is not null")
     return rows.groupBy(*by, "ts").agg(F.avg("y").alias("y"))
 
 

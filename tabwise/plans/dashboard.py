@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise import config
+from tabwise.functions import text as tx
 from tabwise.operators import anomalies, charts, clean, contract, critic, eda, forecast, relate, roles, segments, stats, supervised
 from tabwise.sources import readers
 
@@ -78,6 +79,7 @@ def build_dashboard(spark: SparkSession, path: str | None = None, df: DataFrame
 def _analyse(out: Dashboard, frame: DataFrame, roled: DataFrame, key, with_statistics: bool, with_ml: bool) -> None:
     spark = frame.sparkSession
     rows = roled.orderBy("position").collect()
+    frame = tx.typed_dates(frame, [r["name"] for r in rows if r["role"] == "datetime"])
     measures = [r["name"] for r in rows if r["role"] == "numeric" and (r["std"] or 0) > 0.001]
     stored = [c for c in measures if frame.schema[c].dataType.typeName() != "string"]
     views = {r["name"]: r["v_year"] for r in eda.profile_view(roled).select("name", "v_year").collect()}
@@ -93,7 +95,9 @@ def _analyse(out: Dashboard, frame: DataFrame, roled: DataFrame, key, with_stati
         out.ml = ml_summary(frame, roled, key or out.contract.grain or frame.columns)
     out.kpis = [r.asDict() for r in eda.kpis(roled, found).collect()]
     specs = [r.asDict() for r in eda.chart_specs(roled, found).collect()]
-    out.charts = charts.build_charts(frame, specs)
+    failed: list = []
+    out.charts = charts.build_charts(frame, specs, failed=failed)
+    out.warnings += [f"chart {f.get('id')}: {f['error']}" for f in failed]
 
 
 def eda_summary(frame: DataFrame, roled: DataFrame, measures: list[str], n_corr: int, n_rows: int) -> dict:
