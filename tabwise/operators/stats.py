@@ -243,40 +243,55 @@ def driver_target(roled: DataFrame) -> DataFrame:
     return pool.orderBy(F.desc("variance"), "position").limit(1).select("name")
 
 
-def report(df: DataFrame, roled: DataFrame) -> dict:
-    """All statistics of a table; a block that fails leaves its section empty."""
+def report(df: DataFrame, roled: DataFrame, key: list[str] | None = None) -> dict:
+    """All statistics of a table; a block that fails leaves its section empty and its reason under ``failed``.
+
+    Outlier factors and density groups need a ``key`` of one column that tells rows apart.
+    """
     from tabwise.operators import anomalies, relate
 
     use = eligible_columns(roled).collect()
     nums = [r["name"] for r in use if r["use"] == "numeric"]
     cats = [r["name"] for r in use if r["use"] == "categorical"]
-    dates = [r["name"] for r in roled.filter("role = 'datetime' and kind = 'datetime'").orderBy("position").collect()]
+    dates = [r["name"] for r in roled.filter("role = 'datetime'").orderBy("position").collect()]
+    df = tx.typed_dates(df, dates[:1])
+    failed: dict[str, str] = {}
 
-    def guarded(job, empty):
+    def guarded(job, empty, name):
         try:
             return job()
-        except Exception:
+        except Exception as e:
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
             return empty
 
     rows = lambda d: [r.asDict() for r in d.collect()]
     out = {"numeric_columns": nums, "categorical_columns": cats}
-    out["distributions"] = guarded(lambda: rows(distributions(df, nums)), []) if nums else []
-    out["spearman"] = guarded(lambda: sorted(relate.with_p(relate.spearman_pairs(df, nums), "rho"), key=lambda d: -abs(d["rho"] or 0))[:25], []) if len(nums) > 1 else []
-    out["cramers_v"] = guarded(lambda: rows(relate.top_by_strength(relate.cramers_v(df, cats), "cramers_v", ["a", "b"])), []) if len(cats) > 1 else []
-    out["eta"] = guarded(lambda: rows(relate.top_by_strength(relate.correlation_ratio(df, cats, nums), "eta", ["category", "numeric"])), []) if cats and nums else []
-    out["trend"] = {}
+    out["distributions"] = guarded(lambda: rows(distributions(df, nums)), [], "distributions") if nums else []
+    out["spearman"] = guarded(lambda: sorted(relate.with_p(relate.spearman_pairs(df, nums), "rho"), key=lambda d: -abs(d["rho"] or 0))[:25], [], "spearman") if len(nums) > 1 else []
+    out["cramers_v"] = guarded(lambda: rows(relate.top_by_strength(relate.cramers_v(df, cats), "cramers_v", ["a", "b"])), [], "cramers_v") if len(cats) > 1 else []
+    out["eta"] = guarded(lambda: rows(relate.top_by_strength(relate.correlation_ratio(df, cats, nums), "eta", ["category", "numeric"])), [], "eta") if cats and nums else []
+    out["trend"], out["decomposition"] = {}, {}
     if dates:
-        for c in nums[:10]:
-            out["trend"][c] = guarded(lambda: trend_verdict(mean_series(df, dates[0], c)), None)
+        for c in nums:
+            out["trend"][c] = guarded(lambda: trend_verdict(mean_series(df, dates[0], c)), None, f"trend {c}")
+            out["decomposition"][c] = guarded(lambda: component_strength(decompose(mean_series(df, dates[0], c))).first().asDict(), None, f"decomposition {c}")
     if len(nums) > 1:
-        out["anomalies"] = guarded(lambda: anomalies.isolation_summary(df, nums), {})
+        out["anomalies"] = guarded(lambda: anomalies.isolation_summary(df, nums), {}, "anomalies")
         from tabwise.operators import segments
 
-        out["clustering"] = guarded(lambda: segments.best_kmeans(df, nums, range(2, 8)), {})
+        out["clustering"] = guarded(lambda: segments.best_kmeans(df, nums, range(2, 8)), {}, "clustering")
         target = driver_target(roled).first()
         if target:
             from tabwise.operators import supervised
 
             feats = [c for c in nums if c != target["name"]]
-            out["drivers"] = guarded(lambda: supervised.forest_importances(df, target["name"], feats), {})
+            out["drivers"] = guarded(lambda: supervised.forest_importances(df, target["name"], feats), {}, "drivers")
+            out["mutual_information"] = guarded(lambda: rows(relate.mutual_information(df, feats, target["name"])), [], "mutual_information")
+        if key and len(key) == 1:
+            from tabwise.operators import neighbors
+
+            complete = df.select(*key, *nums).dropna()
+            out["outlier_factor"] = guarded(lambda: neighbors.lof_summary(neighbors.local_outlier_factor(complete, nums, key[0])).first().asDict(), {}, "outlier_factor")
+            out["density"] = guarded(lambda: neighbors.density_summary(neighbors.density_groups(complete, nums, key[0])).first().asDict(), {}, "density")
+    out["failed"] = failed
     return out

@@ -169,6 +169,14 @@ def w8_w(spark, d):
     return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")), value=4)
 
 
+@query("w8_timeseries_text", "SELECT l_shipdate::TIMESTAMP AS date, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1")
+def w8_text(spark, d):
+    """Dates held as text, day first."""
+    df = load(spark, d, "lineitem").select(F.date_format("l_shipdate", "d/M/yyyy").alias("day"), "l_quantity")
+    out = charts.time_series(df, "day", "l_quantity", threshold=10**9, clip=charts.Clip())
+    return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")), value=6)
+
+
 @query("w8_timeseries_w_median", "SELECT (date_trunc('week', l_shipdate) + INTERVAL 6 DAY)::TIMESTAMP AS date, round(quantile_cont(l_extendedprice, 0.5), 4) AS value FROM lineitem GROUP BY 1")
 def w8_median(spark, d):
     out = charts.time_series(load(spark, d, "lineitem"), "l_shipdate", "l_extendedprice", "median", threshold=1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwise.functions import text as tx
-from tabwise.operators import clean, contract, critic, eda, forecast, profile, roles, stats, supervised
+from tabwise.operators import clean, contract, critic, eda, filters, forecast, profile, roles, stats, supervised
 from tabwise.plans import interact
 from tabwise.plans.catalog import load, profile_of, query, rounded, sql_union, union_all
 from tabwise.plans.dashboard import quality_report
@@ -353,6 +353,19 @@ def f17(spark, d):
     return df.select("o_orderkey", tx.as_text(df, "flag").alias("flag"), tx.as_text(df, "num").alias("num"))
 
 
+@query("f17_large_and_small", "SELECT o_orderkey, (o_totalprice * 1000)::VARCHAR AS big, (o_totalprice / 1e9)::VARCHAR AS small FROM orders")
+def f17_sizes(spark, d):
+    df = load(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 1000).alias("big"), (F.col("o_totalprice") / 1e9).alias("small"))
+    return df.select("o_orderkey", tx.as_text(df, "big").alias("big"), tx.as_text(df, "small").alias("small"))
+
+
+@query("c9_large_doubles", "SELECT o_orderkey FROM orders WHERE (o_totalprice * 1000)::VARCHAR IN (SELECT (max(o_totalprice) * 1000)::VARCHAR FROM orders)")
+def c9_large(spark, d):
+    df = load(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 1000).alias("big"))
+    top = df.agg(F.max("big")).first()[0]
+    return df.filter(filters.predicate(df, {"column": "big", "op": "eq", "value": top})).select("o_orderkey")
+
+
 # ---------------------------------------------------------------- KPIs, specs, merges, routing
 
 

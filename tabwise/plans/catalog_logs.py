@@ -19,7 +19,7 @@ def event_stream(spark, d, glob: str = "events.parquet"):
 
 def drain(stream, mode: str):
     run = uuid.uuid4().hex
-    out = logs.run_available(stream, f"out_{run}", mode, f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{run}")
+    out = logs.run_available(stream, mode, f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{run}")
     zoned = [f.name for f in out.schema.fields if f.dataType.typeName() == "timestamp"]
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
 
@@ -153,7 +153,12 @@ def r5_stream(spark, d):
 # ---------------------------------------------------------------- R6 - R9
 
 
-@query("r6_sustained", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, min(value) AS low, count(value) AS n, min(value) > 50 AS firing FROM events GROUP BY 1")
+@query(
+    "r6_sustained",
+    """WITH t AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS tick, min(value) AS low FROM events WHERE value IS NOT NULL GROUP BY 1),
+    n AS (SELECT tick, low, low > 50 AS hot, lead(tick) OVER (ORDER BY tick) AS later, row_number() OVER (ORDER BY tick) - row_number() OVER (PARTITION BY low > 50 ORDER BY tick) AS run FROM t)
+    SELECT min(tick) AS start, max(coalesce(later, tick)) AS stop, count(*) AS steps, min(low) AS low, max(coalesce(later, tick)) >= min(tick) + INTERVAL 5 MINUTE AS firing FROM n WHERE hot GROUP BY run""",
+)
 def r6(spark, d):
     return logs.sustained(load(spark, d, "events"), "value", 50.0)
 

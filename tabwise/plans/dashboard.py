@@ -90,7 +90,7 @@ def _analyse(out: Dashboard, frame: DataFrame, roled: DataFrame, key, with_stati
     out.role_counts = {r["role"]: r["n"] for r in roles.role_counts(roled).collect()}
     out.eda = eda_summary(frame, roled, stored, len(out.insights), out.contract.n_rows)
     if with_statistics:
-        out.statistics = stats.report(frame, roled)
+        out.statistics = stats.report(frame, roled, key or list(out.contract.grain) or None)
     if with_ml:
         out.ml = ml_summary(frame, roled, key or out.contract.grain or frame.columns)
     out.kpis = [r.asDict() for r in eda.kpis(roled, found).collect()]

@@ -157,10 +157,19 @@ def windowed_quantile(events: DataFrame, value: str, size: str = "10 minutes", q
     return w.filter("n > 0").select(*by, F.col("w.start").alias("start"), "n", out.alias("quantile"))
 
 
-def sustained(events: DataFrame, value: str, threshold: float, size: str = "5 minutes") -> DataFrame:
-    """(start, low, n, firing): the gauge stayed above ``threshold`` for a whole window."""
-    w = events.groupBy(F.window("ts", size).alias("w")).agg(F.min(value).alias("low"), F.count(value).alias("n"))
-    return w.select(F.col("w.start").alias("start"), "low", "n", (F.col("low") > threshold).alias("firing"))
+def sustained(events: DataFrame, value: str, threshold: float, hold: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """(start, stop, steps, low, firing): runs of steps in which the gauge stayed above ``threshold``.
+
+    Samples are brought to one row per step first, so what is ordered grows with the time covered, not with the
+    samples. Steps without a sample keep what was last seen; a run fires once it has lasted for ``hold``.
+    """
+    ticks = events.filter(F.col(value).isNotNull()).groupBy(F.window("ts", step).start.alias("at")).agg(F.min(value).alias("low"))
+    over = F.col("low") > threshold
+    line = Window.orderBy("at")
+    turned = ticks.withColumn("over", over).withColumn("run", F.sum(F.when(F.coalesce(F.lag("over").over(line) == F.col("over"), F.lit(False)), 0).otherwise(1)).over(line))
+    ended = turned.withColumn("next", F.lead("at").over(line))
+    runs = ended.filter("over").groupBy("run").agg(F.min("at").alias("start"), F.max(F.coalesce("next", "at")).alias("stop"), F.count(F.lit(1)).alias("steps"), F.min("low").alias("low"))
+    return runs.select("start", "stop", "steps", "low", (F.col("stop") >= F.col("start") + F.expr(f"INTERVAL {hold}")).alias("firing"))
 
 
 def rate_limit_violations(events: DataFrame, key: str, limit: int, size: str = "1 minute") -> DataFrame:
@@ -193,8 +202,20 @@ def after_cursor(events: DataFrame, key: str, order: list[str], since: int, slic
     return placed.withColumn("seq", (F.col("_off") + F.col("_in")).cast("bigint")).filter(F.col("seq") > since).drop("_off", "_in")
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drive a streaming plan over everything now available and return the sink's rows (tests, backfills)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Drive a streaming plan over everything now available and return what it wrote (tests, backfills).
+
+    Executors write every batch as Parquet under ``folder``, by batch number, so a batch that is run again replaces
+    itself. In complete mode the last batch is the result, in append mode all of them together.
+    """
+    spark, rows = stream.sparkSession, f"{folder}/rows"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(rows)
+    if mode == "complete":
+        written = written.filter(F.col("batch") == written.agg(F.max("batch")).first()[0])
+    return written.drop("batch")
