@@ -4,9 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from tabwise.plans.catalog import QUERIES, SQL
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
 HEAVY = {"m4_regression", "m5_classification", "m6_permutation_importance", "m17_what_if", "m10_segments", "m11_segment_features", "m18_resegment", "t11_kmeans", "t13_driver_importances", "m12_projection"}
 
 
@@ -27,3 +26,7 @@ def test_gives_rows(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
