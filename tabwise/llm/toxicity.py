@@ -153,7 +153,7 @@ def word_scorer(weights: np.ndarray, bias: float):
     def prepare(texts):
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list(set().union(*map(words_of, texts)) - known.keys())
+        new = list(set().union(*map(words_of, texts)).difference(known))
         if new:
             known.update(zip(new, (kernel.weighted(new, weights) + bias).tolist()))
 
@@ -239,9 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = np.array([[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in phi] for a in phi])
     scale, axes = np.linalg.eigh(own + 1e-3 * np.eye(len(own)))
     root = axes @ np.diag(1 / np.sqrt(np.maximum(scale, 1e-3))) @ axes.T
-    table = np.zeros((len(landmarks), 1 << 20), np.float32)
-    for i, f in enumerate(phi):
-        table[i, list(f)] = list(f.values())
+
+    def table(parts) -> np.ndarray:
+        out = np.zeros(1 << 20, np.float32)
+        for factor, f in parts:
+            out[list(f)] += np.float32(factor) * np.fromiter(f.values(), np.float32, len(f))
+        return out
 
     def taken(rows) -> dict[str, tuple[int, int]]:
         return {r["word"]: (r["toxic"], r["clean"]) for r in rows.collect()}
@@ -253,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words |= taken(counts.orderBy(F.xxhash64("word")).limit(TRAIN_WORDS // 3))
     for left in reversed(range(MINING_ROUNDS + 1)):
         names = sorted(words)
-        x = np.stack([kernel.weighted(names, t) for t in table], axis=1) @ root
+        x = np.stack([kernel.weighted(names, table([(1.0, f)])) for f in phi], axis=1) @ root
         seen = np.array([words[n] for n in names], float)
         w, bias = linear_svm(np.vstack([x, x]), np.repeat([1.0, -1.0], len(names)), np.concatenate([seen[:, 0], seen[:, 1]]))
-        weights = ((root @ w)[:, None].astype(np.float32) * table).sum(0)
+        weights = table(zip(root @ w, phi))
         if left:  # the clean words that rank highest are learned next
             ranked = _figures(clean_words.select("word", "toxic", "clean", F.regexp_replace("word", r"^\^", "").alias("text")), weights, bias, "text", drop_text=True)
             words |= taken(ranked.orderBy(F.desc(F.col("__f")[0]), "word").limit(TRAIN_WORDS // 6))
@@ -285,9 +288,10 @@ def linear_svm(x: np.ndarray, y: np.ndarray, counts: np.ndarray, penalty: float
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[list[float], float]:
-    """Slopes and shift of a logistic curve over figures, fitted on their standardised values."""
-    mean, spread = x.mean(0), x.std(0) + 1e-9
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> tuple[list[float], float]:
+    """Slopes and shift of a logistic curve over figures, fitted on their standardised values; figures that hardly
+    vary in training hardly count."""
+    mean, spread = x.mean(0), np.maximum(x.std(0), 0.1)
     a, p = np.hstack([(x - mean) / spread, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(a @ p, -30, 30)))
