@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -39,6 +38,7 @@ GRAM_BYTES = 128
 BATCHES = 4
 GROUP_SEGMENTS = 48
 CHUNK_BYTES = 1 << 22
+SENT_BYTES = 1 << 23
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
 
@@ -184,16 +184,6 @@ class SuffixIndex:
         return cut_lineage(union(self.whole).distinct()), cut_lineage(union(self.forks).distinct())
 
 
-def _extend(own: tuple[bytes, int], other: tuple[bytes, int], match_bytes: int) -> tuple[int, int] | None:
-    """Windows of ``own`` that match ``other`` around their common anchor, as first and last distance from the
-    window's start to the anchor."""
-    (a, i), (b, j) = own, other
-    r = _common(a[i:], b[j:])
-    l = _common(a[:i][::-1], b[:j][::-1])
-    lo, hi = max(match_bytes - r, i - (len(a) - match_bytes)), min(l, i)
-    return (lo, hi) if lo <= hi else None
-
-
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -201,6 +191,35 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
+def _shared(parts: list[bytes]) -> np.ndarray:
+    """Length of the common beginning of every two strings, from neighbours in their sorted order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    step = np.array([_common(parts[a], parts[b]) for a, b in zip(order, order[1:])], np.int64)
+    out = np.zeros((len(parts), len(parts)), np.int64)
+    for k in range(len(parts) - 1):
+        run = np.minimum.accumulate(step[k:])
+        out[order[k], order[k + 1 :]] = run
+        out[order[k + 1 :], order[k]] = run
+    return out
+
+
+def matching_windows(group: list[tuple[bytes, int, bool]], match_bytes: int) -> list[list[tuple[int, int]]]:
+    """For each segment of a head, given as (bytes, place of the anchor, known to match whole), the ranges of windows
+    that another segment of the head holds too, counted from the segment's start. Suffixes and reversed prefixes at
+    the anchor are compared; a window matches where both sides reach as far as it does."""
+    right = _shared([body[left:] for body, left, _ in group])
+    leftward = _shared([body[:left][::-1] for body, left, _ in group])
+    out = []
+    for i, (body, left, done) in enumerate(group):
+        lo = np.maximum(match_bytes - right[i], left - (len(body) - match_bytes))
+        hi = np.minimum(leftward[i], left)
+        good = lo <= hi
+        good[i] = False
+        spans = [] if done else merged([(left - int(h), left - int(x) + 1) for x, h in zip(lo[good], hi[good])])
+        out.append([(a, b - 1) for a, b in spans])
+    return out
+
+
 def _segment_bytes(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(head, seg, left, body) of the wanted segments (k1, k2, head, seg, lo, left, size), read from the texts."""
     per_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "seg", "lo", "left", "size")).alias("want"))
@@ -209,13 +228,22 @@ def _segment_bytes(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFra
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
+
+            def ready():
+                part = list(zip(*rows))
+                return pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary())], names=["head", "seg", "left", "body"])
+
             for i in range(batch.num_rows):
                 text = unpack.decompress(batch.column("body")[i].as_py())
-                rows += [(w["head"], w["seg"], w["left"], text[w["lo"] : w["lo"] + w["size"]]) for w in batch.column("want")[i].as_py()]
-            for at in range(0, len(rows), 50_000):
-                part = list(zip(*rows[at : at + 50_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary())], names=["head", "seg", "left", "body"])
+                for w in batch.column("want")[i].as_py():
+                    rows.append((w["head"], w["seg"], w["left"], text[w["lo"] : w["lo"] + w["size"]]))
+                    held += w["size"]
+                    if held > SENT_BYTES:
+                        yield ready()
+                        rows, held = [], 0
+            if rows:
+                yield ready()
 
     return joined.select("body", "want").mapInArrow(run, "head bigint, seg bigint, left bigint, body binary")
 
@@ -252,16 +280,34 @@ def partial_matches(docs: DataFrame, found: DataFrame, whole: DataFrame, forks:
     open_ones = cut_lineage(marked.join(sizes, "head"))
     bodies = cut_lineage(_segment_bytes(docs, open_ones, text_col).join(open_ones.select("head", "seg", "w", "members"), ["head", "seg"]))
 
-    def pairwise(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, out = list(zip(pdf["seg"], pdf["body"], pdf["left"], pdf["w"])), []
-        for seg, body, left, done in rows:
-            if done:
-                continue
-            spans = [s for s2, b2, l2, _ in rows if s2 != seg and (s := _extend((body, left), (b2, l2), match_bytes))]
-            out += [(pdf["head"].iloc[0], seg, left - b, left - a) for a, b in ((a, b - 1) for a, b in merged([(x, y + 1) for x, y in spans]))]
-        return pd.DataFrame(out, columns=["head", "seg", "lo", "hi"]).astype("int64")
+    def together(batches):
+        """Rows come sorted by head; a head's rows may go over from one batch to the next."""
+        head, group, out = None, [], []
+
+        def close():
+            for (seg, *_), spans in zip(group, matching_windows([g[1:] for g in group], match_bytes)):
+                out.extend((head, seg, a, b) for a, b in spans)
+
+        def ready():
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["head", "seg", "lo", "hi"])
+
+        for batch in batches:
+            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("head", "seg", "body", "left", "w"))):
+                if h != head:
+                    if len(group) > 1:
+                        close()
+                    head, group = h, []
+                group.append(row)
+            if out:
+                yield ready()
+                out = []
+        if len(group) > 1:
+            close()
+        if out:
+            yield ready()
 
-    near = bodies.filter(F.col("members") <= GROUP_SEGMENTS).groupBy("head").applyInPandas(pairwise, "head bigint, seg bigint, lo bigint, hi bigint")
+    few = bodies.filter(F.col("members") <= GROUP_SEGMENTS).select("head", "seg", "body", "left", "w")
+    near = few.repartition("head").sortWithinPartitions("head").mapInArrow(together, "head bigint, seg bigint, lo bigint, hi bigint")
 
     def unrolled(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -282,7 +328,7 @@ def partial_matches(docs: DataFrame, found: DataFrame, whole: DataFrame, forks:
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", match_bytes: int = MATCH_BYTES, gram_bytes: int = GRAM_BYTES, batches: int = BATCHES) -> DataFrame:
-    """(k1, k2, spans): byte spans, as (start, end) structs that may overlap, of each text to be removed."""
+    """(k1, k2, from, to): starts and ends of the byte spans of each text to be removed, sorted; they may overlap."""
     found = cut_lineage(occurrences(docs, text_col, match_bytes, gram_bytes))
     index = SuffixIndex()
     for b in range(batches):
@@ -293,7 +339,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", match_bytes: int = M
     hits = cut_lineage(all_of_it.unionByName(parts.select("head", "seg", F.col("lo").alias("from"), F.col("hi").alias("to"))))
     stop = F.when(F.col("to") < 0, F.col("lo") + F.col("size")).otherwise(F.col("lo") + F.col("to") + match_bytes)
     spans = found.join(hits, ["head", "seg"]).select("k1", "k2", F.struct((F.col("lo") + F.col("from")).alias("a"), stop.alias("b")).alias("s"))
-    return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
+    per_text = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    return per_text.select("k1", "k2", F.col("s.a").alias("from"), F.col("s.b").alias("to"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match_bytes: int = MATCH_BYTES, keep_bytes: bool = False) -> DataFrame:
@@ -306,8 +353,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):
-                text, gone, at, left = unpack.decompress(body), merged([(s["a"], s["b"]) for s in spans or []]), 0, []
+            for body, starts, stops in zip(*(batch.column(c).to_pylist() for c in ("body", "from", "to"))):
+                text, gone, at, left = unpack.decompress(body), merged(list(zip(starts or [], stops or []))), 0, []
                 for a, b in gone:
                     left.append(text[at:a])
                     at = b
@@ -319,4 +366,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
-    return rows.select(id_col, "body", "spans").mapInArrow(run, ddl)
+    return rows.select(id_col, "body", "from", "to").mapInArrow(run, ddl)
