@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from struct import pack as pack_ints
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +30,86 @@ from tabwise.session import cut_lineage
 MAX_TOKENS = 2048
 END_ID = 1
 BUCKETS = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 Pattern = tuple[int, ...]
 
 
-def tokenizer(path: str):
-    """A function from a text (bytes) to its ids as little-endian 32-bit bytes.
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit bytes."""
+    return pack_ints(f"<{len(ids)}I", *ids)
 
-    The vocabulary drops white space and never joins across it, so words are encoded one by one and kept in a
-    bounded table.
-    """
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+class WordEncoder:
+    """Ids of texts as little-endian 32-bit bytes.
 
-    def encode(text: bytes) -> bytes:
-        words = text.split()
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, model.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+    The vocabulary is lower-case, drops white space and never joins across it, so words are encoded one by one and
+    kept in a bounded table. A comma or full stop behind a plain letter is a piece of its own, so the word before it
+    is looked up without it. Words of Latin letters are one piece and go to the tokenizer's merges directly, others
+    through the whole tokenizer, many at a time and held apart by a piece that no word holds.
+    """
 
-    return encode
+    APART = b"\x01"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model = Tokenizer.from_file(path)
+        self.apart = self.model.encode(self.APART.decode(), add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {}
+        self.split: dict[int, list[bytes]] = {}
+        self.merges = self.model.model.tokenize
+        # the bytes of letters beyond ASCII as the vocabulary writes them
+        self.letters = {b: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1] for b in range(0x80, 0xC0)}
+        self.letters |= {b: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC3, 0xCA)}
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        return (text.lower() if b"<|" not in text else text).split()  # names of special ids are told by their case
+
+    def prepare(self, texts: list[bytes | None]) -> None:
+        """Encode all words of these texts that are not known yet."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self.split = {id(t): self.words(t) for t in texts if t}
+        met = set().union(*self.split.values()).difference(self.known)
+        marked = [w for w in met if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
+        met.difference_update(marked)
+        if marked:
+            met.update([w[:-1] for w in marked], (b",", b"."))
+        rest = []
+        for w in met.difference(self.known):
+            s = w.decode("utf-8", "replace")
+            if not s.isalpha():
+                plain = None
+            elif s.isascii():
+                plain = s.lower()
+            else:
+                s = s.lower()
+                plain = s.encode().decode("latin-1").translate(self.letters) if max(s) < "\u0250" and is_normalized("NFC", s) else None
+            if plain:
+                self.known[w] = little([t.id for t in self.merges(plain)])
+            elif self.APART in w or b"<|" in w:
+                self.known[w] = little(self.model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 2000):
+            self._learn(rest[at : at + 2000])
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+
+    def _learn(self, words: list[bytes]) -> None:
+        line = (b" " + self.APART + b" ").join(words).decode("utf-8", "replace")
+        ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids + self.apart, "<u4")
+        stops = np.flatnonzero(ids == self.apart[0])
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(words, stops.tolist(), strict=True):
+            self.known[w] = raw[4 * start : 4 * stop]
+            start = stop + 1
+
+    def __call__(self, text: bytes) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split.get(id(text)) or self.words(text)))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
@@ -65,7 +119,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = tokenizer(path)
+        encode = WordEncoder(path)
         end = np.array([END_ID], "<u4").tobytes()
 
         def one(text):
@@ -77,6 +131,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 out.append((*row, np.frombuffer(own, "<u4")) if keep_ids else row)
             return out
 
+        one.prepare = encode.prepare
         return one
 
     ddl = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * keep_ids
