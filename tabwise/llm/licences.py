@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory.
 
 Every line of every document that shares two words with some template is a candidate header. Words weigh by how few
-lines of the whole corpus hold them; words no template has count as the rarest. Only shared words are joined, so the
-cosine is worked out sparsely; a line carries the licence of its most similar template from ``LEAST`` on. Files that
+lines of the whole corpus hold them; words no template has count as the rarest. Lines go through an inverted index
+over the templates' words, so the cosine is worked out sparsely and no line leaves its task; a line carries the
+licence of its most similar template from ``LEAST`` on. Files that
 consist of licence lines alone are licence files and declare their directory; a document without a licence of its
 own inherits from the deepest directory above it that declares one.
 
@@ -13,11 +14,18 @@ takes the most frequent licence, then the first by name; an empty table gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from math import log, sqrt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwise.llm.common import add_columns
 from tabwise.session import cut_lineage
 
+_WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+
 LEAST = 0.8
 SHARED_WORDS = 2
 #: Notices as their licences word them.
@@ -32,41 +40,87 @@ TEMPLATES = {
 }
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[0-9]+)*"), F.lit(0))
+def line_words(line: str) -> list[str]:
+    return _WORD.findall(line.lower())
+
+
+def _vocabulary(templates: dict[str, list[str]]) -> set[str]:
+    return {w for texts in templates.values() for t in texts for w in line_words(t)}
+
+
+def line_frequencies(docs: DataFrame, vocabulary: set[str], text_col: str) -> tuple[int, dict[str, int]]:
+    """Number of lines of all documents, and how many hold each word of the vocabulary (as many as templates have)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts: dict[str, int] = {"": 0}  # under the empty word: all lines
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                lines = (text or b"").decode("utf-8", "replace").split("\n")
+                counts[""] += len(lines)
+                for line in lines:
+                    for w in vocabulary.intersection(line_words(line)):
+                        counts[w] = counts.get(w, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+
+    parts = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "w string, n bigint")
+    found = {r["w"]: r["n"] for r in parts.groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    return found.pop("", 0), found
+
+
+class Matcher:
+    """Cosine of a line to its most similar template, over the words they share."""
+
+    def __init__(self, templates: dict[str, list[str]], total: int, frequencies: dict[str, int]):
+        self.rarest = log(total + 1) + 1e-9
+        self.idf = {w: log((total + 1) / (frequencies.get(w, 0) + 1)) + 1e-9 for w in _vocabulary(templates)}
+        self.names: list[str] = []
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        for name, text in ((n, t) for n, texts in templates.items() for t in texts):
+            weights = {w: k * self.idf[w] for w, k in Counter(line_words(text)).items()}
+            norm = sqrt(sum(x * x for x in weights.values()))
+            for w, x in weights.items():
+                self.postings.setdefault(w, []).append((len(self.names), x / norm))
+            self.names.append(name)
+
+    def best(self, line: str, least: float) -> tuple[str, float] | None:
+        words = line_words(line)
+        shared = [w for w in words if w in self.idf]
+        if len(set(shared)) < SHARED_WORDS:
+            return None
+        inside = {w: k * self.idf[w] for w, k in Counter(shared).items()}
+        within = sum(x * x for x in inside.values())
+        # words no template has only add to the line's length: with so many of them no template is near enough
+        if within < least * least * (within + (len(words) - len(shared)) * self.rarest**2):
+            return None
+        norm = sqrt(within + sum((k * self.rarest) ** 2 for w, k in Counter(words).items() if w not in inside))
+        dots = [0.0] * len(self.names)
+        for w, x in inside.items():
+            for t, y in self.postings[w]:
+                dots[t] += x * y
+        top = max(range(len(dots)), key=lambda t: (dots[t], -t))
+        cosine = round(dots[top] / norm, 9)
+        return (self.names[top], cosine) if cosine >= least else None
+
+
+def with_licence_lines(docs: DataFrame, text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """``docs`` without the text, with __hits: (line, licence, cosine) of each licence line, and __filled: the number of
+    lines that are not blank."""
+    spark = docs.sparkSession
+    matcher = spark.sparkContext.broadcast(Matcher(templates, *line_frequencies(docs, _vocabulary(templates), text_col)))  # as large as the templates
 
+    def make():
+        own = matcher.value
 
-def _own_key(id_col: str, path: Column, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), path, F.col(text_col))
+        def one(text):
+            lines = (text or b"").decode("utf-8", "replace").split("\n")
+            hits = [{"line": i, "licence": m[0], "cosine": m[1]} for i, x in enumerate(lines) if (m := own.best(x, least))]
+            return hits, sum(1 for x in lines if x.strip())
 
+        return one
 
-def licence_lines(docs: DataFrame, id_col: str, path: Column, text_col: str, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(key, line, licence, cosine): the licence lines of each document."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(i, name, t) for i, (name, t) in enumerate((n, t) for n, ts in templates.items() for t in ts)], "tid int, licence string, text string")
-    terms = known.select("tid", "licence", F.explode(_words(F.col("text"))).alias("w")).groupBy("tid", "licence", "w").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = sorted(r["w"] for r in terms.select("w").distinct().collect())  # as large as the templates
-    vocabulary_array = F.array(*[F.lit(w) for w in vocabulary])
-
-    lines = docs.select(_own_key(id_col, path, text_col).alias("key"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line", "text"))
-    worded = lines.select("key", "line", _words(F.col("text")).alias("ws")).withColumn("shared", F.array_intersect("ws", vocabulary_array))
-    counts = worded.select(F.explode("shared").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()
-    total = lines.count()
-    top = F.log(F.lit(float(total + 1)))
-    idf = spark.createDataFrame([(r["w"], r["df"]) for r in counts] + [(w, 0) for w in set(vocabulary) - {r["w"] for r in counts}], "w string, df bigint")
-    idf = F.broadcast(idf.select("w", F.log((total + 1) / (F.col("df") + 1)).alias("idf") + F.lit(1e-9)).toDF("w", "idf"))  # as large as the templates
-
-    weighed = terms.join(idf, "w").withColumn("x", F.col("tf") * F.col("idf"))
-    length = Window.partitionBy("tid")
-    weighed = F.broadcast(weighed.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(length))).select("tid", "licence", "w", "x"))
-
-    candidates = worded.filter(F.size("shared") >= SHARED_WORDS).select("key", "line", F.explode("ws").alias("w"))
-    tf = candidates.groupBy("key", "line", "w").agg(F.count(F.lit(1)).alias("tf")).join(idf, "w", "left").withColumn("y", F.col("tf") * F.coalesce("idf", top))
-    norms = tf.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-    dots = tf.filter("idf is not null").join(weighed, "w").groupBy("key", "line", "tid", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    cosines = dots.join(norms, ["key", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= least)
-    best = F.max_by(F.struct("licence", "cosine"), F.struct("cosine", -F.col("tid")))
-    return cosines.groupBy("key", "line").agg(best.alias("b")).select("key", "line", "b.licence", "b.cosine")
+    return add_columns(docs, text_col, make, "__hits array<struct<line:int, licence:string, cosine:double>>, __filled int")
 
 
 def _parent(path: Column) -> Column:
@@ -76,15 +130,11 @@ def _parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, path, licence, cosine, n_lines, inherited, inherited_from): own licence of the most similar line, number of
     licence lines, and for documents without one the licence of the nearest directory above."""
-    path = F.coalesce(path, F.lit(""))
-    found = cut_lineage(licence_lines(docs, id_col, path, text_col, templates, least))
-    best = F.max_by(F.struct("licence", "cosine"), F.struct("cosine", -F.col("line")))
-    per_doc = found.groupBy("key").agg(best.alias("b"), F.count(F.lit(1)).alias("n_lines")).select("key", "b.licence", "b.cosine", "n_lines")
-    filled = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
-    slim = docs.select(id_col, path.alias("path"), _own_key(id_col, path, text_col).alias("key"), filled.alias("filled"))
-    own = cut_lineage(slim.join(per_doc, "key", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))))
-
-    declared = own.filter("n_lines > 0 and n_lines = filled").groupBy(_parent(F.col("path")).alias("dir"), "licence").agg(F.count(F.lit(1)).alias("n"))
+    hit = with_licence_lines(docs.select(id_col, F.coalesce(path, F.lit("")).alias("path"), text_col), text_col, templates, least)
+    best = F.reduce("__hits", F.lit(None).cast("struct<line:int,licence:string,cosine:double>"), lambda a, x: F.when(a.isNull() | (x["cosine"] > a["cosine"]), x).otherwise(a))
+    own = cut_lineage(hit.select(id_col, "path", best.alias("b"), F.size("__hits").alias("n_lines"), "__filled").select(id_col, "path", "b.licence", "b.cosine", "n_lines", "__filled"))
+
+    declared = own.filter("n_lines > 0 and n_lines = __filled").groupBy(_parent(F.col("path")).alias("dir"), "licence").agg(F.count(F.lit(1)).alias("n"))
     dirs = declared.groupBy("dir").agg(F.min_by("licence", F.struct(-F.col("n"), "licence")).alias("inherited"))
 
     steps = F.split(_parent(F.col("path")), "/", -1)
