@@ -154,41 +154,39 @@ def _quantile_passes(base: DataFrame, cols: list[str], probs: tuple[float, ...],
     n = {c: row[f"n_{c}"] for c in cols}
     if sum(n.values()) <= min(task_rows, 200_000):
         return _in_one_pass(base, cols, probs, []), row
-    at = {}  # (column, prob) -> [lo, hi, rows below lo, rows up to hi]
-    for c in cols:
-        for i, p in enumerate(probs):
-            if n[c]:
-                at[c, p] = [row[f"q_{c}"][2 * i], row[f"q_{c}"][2 * i + 1], 0, n[c]]
-    for _ in range(6):
-        pending = list(at)
+    # (column, prob) -> [lo, hi, rows below lo, rows up to hi]; ``at`` holds brackets whose counts prove them
+    at = {(c, p): [-INF, INF, 0, n[c]] for c in cols for p in probs if n[c]}
+    tried = {(c, p): [row[f"q_{c}"][2 * i], row[f"q_{c}"][2 * i + 1]] for c in cols for i, p in enumerate(probs) if n[c]}
+    slack = dict.fromkeys(at, margin)
+    while tried:  # a bracket is tried again only if it got smaller or, after a miss, with four times the margin
+        pending = list(tried)
         counts = base.agg(
-            *[a for j, k in enumerate(pending) for a in (F.count_if(F.col(k[0]) < at[k][0]).alias(f"l{j}"), F.count_if(F.col(k[0]) <= at[k][1]).alias(f"u{j}"))]
+            *[a for j, k in enumerate(pending) for a in (F.count_if(F.col(k[0]) < tried[k][0]).alias(f"l{j}"), F.count_if(F.col(k[0]) <= tried[k][1]).alias(f"u{j}"))]
         ).first()
         wide = []
         for j, k in enumerate(pending):
-            h = k[1] * (n[k[0]] - 1)
-            lo, hi = at[k][0], at[k][1]
-            at[k][2:] = [counts[f"l{j}"], counts[f"u{j}"]]
-            if counts[f"l{j}"] > math.floor(h) or counts[f"u{j}"] <= math.ceil(h):
-                at[k][:2] = [-INF, INF]  # the sketch missed: start over from the whole column
-                wide.append(k)
-            elif lo < hi and counts[f"u{j}"] - counts[f"l{j}"] > task_rows and h >= 0:
-                wide.append(k)
+            h, (lo, hi), below, upto = k[1] * (n[k[0]] - 1), tried[k], counts[f"l{j}"], counts[f"u{j}"]
+            if below > math.floor(h) or upto <= math.ceil(h):
+                slack[k] *= 4  # the sketch missed
+                if slack[k] < 1:
+                    wide.append(k)
+            elif upto - below < at[k][3] - at[k][2] or at[k][0] == -INF:
+                at[k] = [lo, hi, below, upto]
+                if lo < hi and upto - below > task_rows:
+                    wide.append(k)
         if not wide:
             break
         again = {}
         for k in wide:
-            lo, hi, below, upto = at[k]
-            if lo == -INF:
-                below, upto = 0, n[k[0]]
+            _, _, below, upto = at[k]
             pos = (k[1] * (n[k[0]] - 1) - below) / max(upto - below - 1, 1)
-            again[k] = [min(1.0, max(0.0, pos - margin)), min(1.0, max(0.0, pos + margin))]
+            again[k] = [min(1.0, max(0.0, pos - slack[k])), min(1.0, max(0.0, pos + slack[k]))]
         inner = base.agg(
             *[F.percentile_approx(F.when(F.col(k[0]).between(at[k][0], at[k][1]), F.col(k[0])), again[k], accuracy).alias(f"r{j}") for j, k in enumerate(wide)]
         ).first()
-        for j, k in enumerate(wide):
-            lo, hi = inner[f"r{j}"]
-            at[k][:2] = [at[k][0] if again[k][0] == 0.0 else lo, at[k][1] if again[k][1] == 1.0 else hi]
+        tried = {
+            k: [at[k][0] if again[k][0] == 0.0 else inner[f"r{j}"][0], at[k][1] if again[k][1] == 1.0 else inner[f"r{j}"][1]] for j, k in enumerate(wide)
+        }
     spark = base.sparkSession
     settled = [(c, float(p), float(lo)) for (c, p), (lo, hi, _, _) in at.items() if lo == hi]
     out = spark.createDataFrame(settled, "name string, prob double, value double")
