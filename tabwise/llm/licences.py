@@ -107,11 +107,10 @@ class Matcher:
 def with_licence_lines(docs: DataFrame, text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """``docs`` without the text, with __hits: (line, licence, cosine) of each licence line, and __filled: the number of
     lines that are not blank."""
-    spark = docs.sparkSession
-    matcher = spark.sparkContext.broadcast(Matcher(templates, *line_frequencies(docs, _vocabulary(templates), text_col)))  # as large as the templates
+    total, frequencies = line_frequencies(docs, _vocabulary(templates), text_col)  # as large as the templates
 
     def make():
-        own = matcher.value
+        own = Matcher(templates, total, frequencies)
 
         def one(text):
             lines = (text or b"").decode("utf-8", "replace").split("\n")
