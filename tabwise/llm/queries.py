@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import decontaminate, hard_negatives, lexical, licences, line_dedup, packing, secrets, sharding, simhash, suffix_dedup, topk, toxicity
+from tabwise.llm import decontaminate, hard_negatives, lexical, licences, line_dedup, packing, pii, secrets, sharding, simhash, suffix_dedup, topk, toxicity
 from tabwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,11 @@ def op11(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_pii")
+def op12(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 OP13_SQL = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

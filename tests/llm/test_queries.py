@@ -20,8 +20,8 @@ def test_a_row_per_document_at_least(spark, sf, name):
     assert llm.QUERIES[name](spark, sf).select("doc_id").distinct().count() == table(spark, sf, "documents").count()
 
 
-def test_names_cover_the_ten():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13]
+def test_names_cover_the_operators():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, sf, tmp_path):
