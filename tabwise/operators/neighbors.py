@@ -1,13 +1,15 @@
-"""Exact nearest neighbours by space cells, and what is built on them: local outlier factor, density groups.
+"""Exact nearest neighbours by space cells, and what is built on them: local outlier factor, components.
 
 Equal points are merged first and carry a multiplicity. Cells come from median cuts of a small hash
-sample. Each point finds a first radius inside its own cell, then visits only the cells its radius
-touches, so no cross join and no all-pairs table ever exists.
+sample; cells that turn out crowded are cut further. Each point finds a first radius inside its own cell,
+then descends the tree of cuts with it and visits only the cells the radius touches, so no cross join,
+no table of points by cells and no all-pairs table ever exists.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -60,12 +62,123 @@ def _cell_of(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         at = np.where(inner, np.where(go, nodes[at, 2], nodes[at, 3]).astype(int), at)
 
 
-def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, xm: np.ndarray, k: int) -> pd.DataFrame:
+@dataclass
+class Space:
+    """A tree of median cuts: (dim, cut, left, right) rows, leaves as (-1, cell, -1, -1), and the boxes of its nodes' points."""
+
+    nodes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, nodes: np.ndarray, boxes: dict[int, tuple]) -> Space:
+        """``boxes``: cell -> (lowest, highest) coordinates of its points; cells without points have none."""
+        width = len(next(iter(boxes.values()))[0]) if boxes else 1
+        low, high = np.full((len(nodes), width), np.inf), np.full((len(nodes), width), -np.inf)
+        for i in range(len(nodes) - 1, -1, -1):  # children come after their parent
+            dim, cell, left, right = nodes[i]
+            if dim < 0:
+                if int(cell) in boxes:
+                    low[i], high[i] = boxes[int(cell)]
+            else:
+                low[i], high[i] = np.minimum(low[int(left)], low[int(right)]), np.maximum(high[int(left)], high[int(right)])
+        return cls(nodes, low, high)
+
+    def plain(self) -> tuple:
+        """What ``Space(*...)`` needs in a task: broadcast values must not depend on this package."""
+        return self.nodes, self.low, self.high
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return _cell_of(x, self.nodes)
+
+    def touched(self, x: np.ndarray, radius: np.ndarray, largest: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row, cell) of the cells whose box a row's radius reaches, and the number of nodes looked at."""
+        rows, at, looked = np.arange(len(x)), np.zeros(len(x), dtype=int), 0
+        out_rows, out_cells = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)]
+        while len(rows):
+            looked += len(rows)
+            gap = np.maximum(0, np.maximum(self.low[at] - x[rows], x[rows] - self.high[at]))
+            near = np.isfinite(self.low[at, 0]) & (_distance(gap, largest) <= radius[rows])
+            rows, at = rows[near], at[near]
+            leaf = self.nodes[at, 0] < 0
+            out_rows.append(rows[leaf])
+            out_cells.append(self.nodes[at[leaf], 1].astype(int))
+            rows, at = rows[~leaf], at[~leaf]
+            at = np.concatenate([self.nodes[at, 2], self.nodes[at, 3]]).astype(int)
+            rows = np.concatenate([rows, rows])
+        return np.concatenate(out_rows), np.concatenate(out_cells), looked
+
+    def region_margin(self, x: np.ndarray) -> np.ndarray:
+        """How far each row is from the cuts around its cell: no point of another cell is nearer."""
+        at, margin = np.zeros(len(x), dtype=int), np.full(len(x), np.inf)
+        while True:
+            dim = self.nodes[at, 0].astype(int)
+            inner = dim >= 0
+            if not inner.any():
+                return margin
+            away = np.abs(x[np.arange(len(x)), np.maximum(dim, 0)] - self.nodes[at, 1])
+            margin = np.where(inner, np.minimum(margin, away), margin)
+            go = x[np.arange(len(x)), np.maximum(dim, 0)] <= self.nodes[at, 1]
+            at = np.where(inner, np.where(go, self.nodes[at, 2], self.nodes[at, 3]).astype(int), at)
+
+
+def _graft(nodes: list[tuple], cell: int, sub: list[tuple]) -> list[tuple]:
+    """The tree with a leaf replaced by a subtree; the leaf's number goes to the first of the new cells, others get new numbers."""
+    at = next(i for i, n in enumerate(nodes) if n[0] < 0 and int(n[1]) == cell)
+    fresh = sum(n[0] < 0 for n in nodes)
+    base, out = len(nodes) - 1, list(nodes)
+    number = {0: cell}
+    for i, (dim, cut, left, right) in enumerate(sub):
+        node = (dim, cut, left + base, right + base) if dim >= 0 else (-1, float(number.setdefault(int(cut), fresh + int(cut) - 1)), -1, -1)
+        if i == 0:
+            out[at] = node
+        else:
+            out.append(node)
+    return out
+
+
+def in_space(merged: DataFrame, cols: list[str], key: str, cell_points: int) -> tuple[DataFrame, Space]:
+    """``merged`` (distinct points) with its cell, and the space. No cell holds over four times ``cell_points`` points."""
+    n = merged.count()
+    leaves = max(1, math.ceil(n / cell_points))
+
+    def sampled(rows, size):
+        return rows.select(*cols, key).orderBy(F.xxhash64(key)).limit(size).select(*[F.col(c).cast("double") for c in cols]).toPandas().to_numpy(dtype=float)
+
+    nodes = _median_cuts(sampled(merged, min(200_000, max(2_000, 16 * leaves))), leaves)
+    while True:
+        told = merged.sparkSession.sparkContext.broadcast(np.array(nodes))
+
+        @F.pandas_udf(T.IntegerType())
+        def cell(*parts: pd.Series) -> pd.Series:
+            return pd.Series(_cell_of(np.column_stack([p.to_numpy(dtype=float) for p in parts]), told.value)).astype("int32")
+
+        placed = cut_lineage(merged.withColumn("cell", cell(*cols)))
+        ends = [f for c in cols for f in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"), F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]
+        found = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ends).collect()  # one row per cell
+        crowded = {r["cell"]: r["n"] for r in found if r["n"] > 4 * cell_points}
+        if not crowded:
+            boxes = {r["cell"]: (np.array([r[f"lo_{c}"] for c in cols]), np.array([r[f"hi_{c}"] for c in cols])) for r in found}
+            return placed, Space.of(np.array(nodes), boxes)
+        x = sampled(placed.filter(F.col("cell").isin(list(crowded)[:1000])), 200_000)
+        own, before = _cell_of(x, told.value), len(nodes)
+        for number, size in list(crowded.items())[:1000]:
+            nodes = _graft(nodes, number, _median_cuts(x[own == number], max(2, math.ceil(size / cell_points))))
+        if len(nodes) == before:
+            raise ValueError("points that differ only beyond double precision crowd one cell")
+
+
+def _distance(gap: np.ndarray, largest: bool) -> np.ndarray:
+    """Length of the gaps along the last axis: their largest, or as the crow flies."""
+    return np.abs(gap).max(axis=-1) if largest else np.sqrt((gap**2).sum(axis=-1))
+
+
+def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, xm: np.ndarray, k: int, largest: bool = False) -> pd.DataFrame:
     """For each query the closest points that together hold k rows: (pid, nbr, d, m)."""
     out = []
     step = max(1, 4_000_000 // max(len(x), 1))
     for s in range(0, len(q), step):
-        d = np.sqrt(np.maximum(((q[s:s + step, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0.0))
+        d = _distance(q[s:s + step, None, :] - x[None, :, :], largest)
         d[qid[s:s + step, None] == xid[None, :]] = np.inf  # own copies are added by the caller
         take = min(k, len(x))
         near = np.argpartition(d, take - 1, axis=1)[:, :take] if take else np.zeros((len(d), 0), dtype=int)
@@ -83,28 +196,19 @@ def nearest_neighbors(points: DataFrame, cols: list[str], key: str, k: int, cell
     ``key`` is a whole-number row id. Copies of a point are its own nearest rows at distance 0.
     """
     merged = points.groupBy(*cols).agg(F.min(key).cast("bigint").alias("pid"), F.count(F.lit(1)).alias("copies"))
-    merged = cut_lineage(merged)
-    n = merged.count()
-    leaves = max(1, math.ceil(n / max(cell_points, 4 * k)))
-    sample = merged.select(*cols, "pid").orderBy(F.xxhash64("pid")).limit(min(200_000, max(2_000, 16 * leaves)))
-    nodes = np.array(_median_cuts(sample.select(*cols).toPandas().to_numpy(dtype=float), leaves))
-    shared = points.sparkSession.sparkContext.broadcast(nodes)
-
-    @F.pandas_udf(T.IntegerType())
-    def cell(*parts: pd.Series) -> pd.Series:
-        return pd.Series(_cell_of(np.column_stack([p.to_numpy(dtype=float) for p in parts]), shared.value)).astype("int32")
-
-    placed = cut_lineage(merged.withColumn("cell", cell(*cols)))
-    boxes = placed.groupBy("cell").agg(*[f for c in cols for f in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).collect()
-    ids = np.array([b["cell"] for b in boxes])
-    low = np.array([[b[f"lo_{c}"] for c in cols] for b in boxes], dtype=float)
-    high = np.array([[b[f"hi_{c}"] for c in cols] for b in boxes], dtype=float)
-    box = points.sparkSession.sparkContext.broadcast((ids, low, high))
+    placed, space = in_space(cut_lineage(merged), cols, "pid", max(cell_points, 4 * k))
+    return neighbors_in_space(placed, space, cols, k)
+
+
+def neighbors_in_space(placed: DataFrame, space: Space, cols: list[str], k: int, largest: bool = False) -> DataFrame:
+    """``nearest_neighbors`` of points (pid, copies, cell, coordinates) that have their place already; ``largest``: by the
+    largest of the coordinates' differences."""
+    told = placed.sparkSession.sparkContext.broadcast(space.plain())
     pairs = "pid bigint, nbr bigint, d double, m bigint"
 
     def in_cell(p: pd.DataFrame) -> pd.DataFrame:
         x, pid = p[cols].to_numpy(dtype=float), p["pid"].to_numpy()
-        return _nearest(x, pid, x, pid, p["copies"].to_numpy(), k)
+        return _nearest(x, pid, x, pid, p["copies"].to_numpy(), k, largest)
 
     local = cut_lineage(placed.groupBy("cell").applyInPandas(in_cell, pairs))
     # first radius: where the found rows and the own copies add up to k; unbounded when the cell is too small
@@ -123,14 +227,12 @@ def nearest_neighbors(points: DataFrame, cols: list[str], key: str, k: int, cell
     ).drop("found")
 
     def visits(batches):
-        ids_, low_, high_ = box.value
         for p in batches:
             x, r, own = p[cols].to_numpy(dtype=float), p["radius"].to_numpy(), p["cell"].to_numpy()
-            for s in range(0, len(p), 2_000):
-                gap = np.maximum(0, np.maximum(low_[None] - x[s:s + 2_000, None], x[s:s + 2_000, None] - high_[None]))
-                hit = (np.sqrt((gap ** 2).sum(axis=2)) <= r[s:s + 2_000, None]) & (ids_[None] != own[s:s + 2_000, None]) & (r[s:s + 2_000, None] > 0)
-                a, b = np.nonzero(hit)
-                yield p.iloc[s:s + 2_000].iloc[a][["pid", *cols]].assign(visit=ids_[b].astype("int32"))
+            for at in range(0, len(p), 2_000):
+                rows, cells, _ = Space(*told.value).touched(x[at : at + 2_000], np.where(r > 0, r, -1.0)[at : at + 2_000], largest)
+                other = cells != own[at + rows]
+                yield p.iloc[at + rows[other]][["pid", *cols]].assign(visit=cells[other].astype("int32"))
 
     schema = "pid bigint, " + ", ".join(f"`{c}` double" for c in cols) + ", visit int"
     queries = asked.select("pid", *[F.col(c).cast("double").alias(c) for c in cols], "cell", "radius").mapInPandas(visits, schema)
@@ -138,7 +240,7 @@ def nearest_neighbors(points: DataFrame, cols: list[str], key: str, k: int, cell
     def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"pid": [], "nbr": [], "d": [], "m": []})
-        return _nearest(q[cols].to_numpy(dtype=float), q["pid"].to_numpy(), p[cols].to_numpy(dtype=float), p["pid"].to_numpy(), p["copies"].to_numpy(), k)
+        return _nearest(q[cols].to_numpy(dtype=float), q["pid"].to_numpy(), p[cols].to_numpy(dtype=float), p["pid"].to_numpy(), p["copies"].to_numpy(), k, largest)
 
     remote = queries.groupBy("visit").cogroup(placed.groupBy("cell")).applyInPandas(across, pairs)
     own = placed.filter("copies > 1").select("pid", F.col("pid").alias("nbr"), F.lit(0.0).alias("d"), (F.col("copies") - 1).alias("m"))
@@ -204,33 +306,3 @@ def _star(e: DataFrame, larger_only: bool) -> DataFrame:
     else:
         linked = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(joined.select("u", F.col("low").alias("v")))
     return linked.filter("u != v").distinct()
-
-
-def density_groups(points: DataFrame, cols: list[str], key: str, min_size: int = 20) -> DataFrame:
-    """(pid, copies, label): density groups, label null for noise.
-
-    Core distance = distance to the ``min_size``-th row, at every table size; links of mutual reach up to the 0.95 quantile of
-    the core distances form components; points beyond it and small components are noise.
-    """
-    k = min(min_size, points.count() - 1)
-    near = cut_lineage(nearest_neighbors(points, cols, key, k))
-    core = near.groupBy("pid", "copies").agg(F.max("d").alias("core"))
-    eps = ordering.exact_quantiles(core, ["core"], (0.95,)).first()["value"]
-    dense = core.filter(F.col("core") <= eps)
-    c = core.select(F.col("pid").alias("nbr"), F.col("core").alias("ncore"))
-    edges = (
-        near.join(core.select("pid", "core"), "pid").join(c, "nbr")
-        .filter((F.greatest("core", "ncore", "d") <= eps) & (F.col("pid") != F.col("nbr")))
-        .select(F.col("pid").alias("u"), F.col("nbr").alias("v"))
-    )
-    labels = connected_components(edges, dense)
-    sizes = labels.join(core.select("pid", "copies"), "pid").groupBy("label").agg(F.sum("copies").alias("size"))
-    big = sizes.filter(F.col("size") >= min_size).select("label")
-    kept = labels.join(big, "label")
-    return core.select("pid", "copies").join(kept.select("pid", "label"), "pid", "left")
-
-
-def density_summary(groups: DataFrame) -> DataFrame:
-    return groups.agg(
-        F.count_distinct("label").alias("n_clusters"), F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("copies"))), F.lit(0)).alias("n_noise")
-    )

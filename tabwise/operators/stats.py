@@ -222,6 +222,17 @@ def component_strength(parts: DataFrame) -> DataFrame:
     return s.select(strength("vs").alias("seasonal_strength"), strength("vt").alias("trend_strength"))
 
 
+def seasonal_strength(series: DataFrame) -> dict | None:
+    """Strengths by robust decomposition, for series of at least two periods and a point."""
+    from tabwise.operators import stl
+
+    n = series.count()
+    period = decomposition_period(n)
+    if n < 2 * period + 1:
+        return None
+    return {"period": period} | {k: round(v, 4) for k, v in component_strength(stl.stl(series, period)).first().asDict().items()}
+
+
 # ---------------------------------------------------------------- column selection and report
 
 
@@ -248,7 +259,7 @@ def report(df: DataFrame, roled: DataFrame, key: list[str] | None = None) -> dic
 
     Outlier factors and density groups need a ``key`` of one column that tells rows apart.
     """
-    from tabwise.operators import anomalies, relate
+    from tabwise.operators import anomalies, information, relate
 
     use = eligible_columns(roled).collect()
     nums = [r["name"] for r in use if r["use"] == "numeric"]
@@ -274,7 +285,7 @@ def report(df: DataFrame, roled: DataFrame, key: list[str] | None = None) -> dic
     if dates:
         for c in nums:
             out["trend"][c] = guarded(lambda: trend_verdict(mean_series(df, dates[0], c)), None, f"trend {c}")
-            out["decomposition"][c] = guarded(lambda: component_strength(decompose(mean_series(df, dates[0], c))).first().asDict(), None, f"decomposition {c}")
+            out["decomposition"][c] = guarded(lambda: seasonal_strength(mean_series(df, dates[0], c)), None, f"decomposition {c}")
     if len(nums) > 1:
         out["anomalies"] = guarded(lambda: anomalies.isolation_summary(df, nums), {}, "anomalies")
         from tabwise.operators import segments
@@ -286,12 +297,12 @@ def report(df: DataFrame, roled: DataFrame, key: list[str] | None = None) -> dic
 
             feats = [c for c in nums if c != target["name"]]
             out["drivers"] = guarded(lambda: supervised.forest_importances(df, target["name"], feats), {}, "drivers")
-            out["mutual_information"] = guarded(lambda: rows(relate.mutual_information(df, feats, target["name"])), [], "mutual_information")
+            out["mutual_information"] = guarded(lambda: rows(information.neighbor_information(df, feats, target["name"])), [], "mutual_information")
         if key and len(key) == 1:
-            from tabwise.operators import neighbors
+            from tabwise.operators import density, neighbors
 
             complete = df.select(*key, *nums).dropna()
             out["outlier_factor"] = guarded(lambda: neighbors.lof_summary(neighbors.local_outlier_factor(complete, nums, key[0])).first().asDict(), {}, "outlier_factor")
-            out["density"] = guarded(lambda: neighbors.density_summary(neighbors.density_groups(complete, nums, key[0])).first().asDict(), {}, "density")
+            out["density"] = guarded(lambda: density.density_summary(density.density_clusters(complete, nums, key[0])).first().asDict(), {}, "density")
     out["failed"] = failed
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwise.operators import anomalies, forecast, neighbors, segments, stats, supervised
+from tabwise.operators import anomalies, density, forecast, neighbors, segments, stats, supervised
 from tabwise.operators import matrix as mx
 from tabwise.plans.catalog import load, query, rounded
 
@@ -53,7 +53,26 @@ def t10_outliers(spark, d):
 
 @query("t12_density_groups")
 def t12(spark, d):
-    return neighbors.density_summary(neighbors.density_groups(_places(spark, d), ["c_acctbal", "place"], "c_custkey", 10))
+    return density.density_summary(density.density_clusters(_places(spark, d), ["c_acctbal", "place"], "c_custkey"))
+
+
+# Prim's algorithm over lists: a step takes the point nearest to the tree and updates the distance of all others.
+_TREE = """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY x, y) AS i, x, y FROM (SELECT DISTINCT c_acctbal AS x, c_nationkey * 100.0::DOUBLE AS y FROM customer)),
+    r AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey * 100.0::DOUBLE AS y FROM customer),
+    c AS (SELECT p.i, p.x, p.y, (list_sort(list(sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)))))[10] AS core FROM p, r GROUP BY ALL),
+    l AS (SELECT list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, list(core ORDER BY i) AS core, count(*)::BIGINT AS n FROM c),
+    prim AS (SELECT 1::BIGINT AS step, 1::BIGINT AS cur, list_transform(x, lambda v: 'inf'::DOUBLE) AS dist, NULL::DOUBLE AS w FROM l
+      UNION ALL
+      SELECT step + 1, list_position(nd, list_min(nd))::BIGINT, nd, list_min(nd) FROM (
+        SELECT step, list_transform(dist, lambda v, i: CASE WHEN v IS NULL OR i = cur THEN NULL ELSE
+          least(v, greatest(l.core[i], l.core[cur], sqrt((l.x[i] - l.x[cur]) * (l.x[i] - l.x[cur]) + (l.y[i] - l.y[cur]) * (l.y[i] - l.y[cur])))) END) AS nd
+        FROM prim, l WHERE step < l.n)) """
+
+
+@query("t12_reach_tree", f"{_TREE} SELECT round(w, 6) AS reach, count(*) AS n FROM prim WHERE w IS NOT NULL GROUP BY 1")
+def t12_tree(spark, d):
+    tree, _ = density.spanning_tree(_places(spark, d), ["c_acctbal", "place"], "c_custkey", 10)
+    return tree.groupBy(F.round("w", 6).alias("reach")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t11_kmeans")
@@ -141,6 +160,21 @@ def m16(spark, d):
     return forecast.forecast(stats.mean_series(df, "hour", "value", by=("event_type",)), by=("event_type",))
 
 
+_SMOOTHED = """WITH RECURSIVE s AS (SELECT event_type, avg(value) AS y, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts)) AS n FROM events GROUP BY event_type, date_trunc('hour', ts)),
+    r AS (SELECT event_type, 1::BIGINT AS n, y AS level, 0.0::DOUBLE AS trend, 0.0::DOUBLE AS sse FROM s WHERE n = 1
+      UNION ALL
+      SELECT r.event_type, s.n, 0.3 * y + 0.7 * (level + 0.9 * trend), 0.1 * (0.3 * y + 0.7 * (level + 0.9 * trend) - level) + 0.9 * 0.9 * trend, sse + pow(y - level - 0.9 * trend, 2)
+      FROM r JOIN s ON s.event_type = r.event_type AND s.n = r.n + 1)
+    SELECT event_type, n, round(level, 6) AS level, round(trend, 6) AS trend, round(sse, 4) AS sse FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC) = 1"""
+
+
+@query("m16_smoothing", _SMOOTHED)
+def m16_smoothing(spark, d):
+    df = load(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    series = stats.mean_series(df, "hour", "value", by=("event_type",))
+    return rounded(forecast.smooth(series, 0.3, 0.1, 0.9, by=("event_type",), block_rows=200), level=6, trend=6, sse=4)
+
+
 @query("c21_median_fill", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 7 = 0 THEN (SELECT quantile_cont(l_quantity, 0.5) FROM lineitem WHERE l_suppkey % 7 <> 0) ELSE l_quantity END AS quantity FROM lineitem")
 def c21(spark, d):
     df = load(spark, d, "lineitem").withColumn("quantity", F.when(F.col("l_suppkey") % 7 != 0, F.col("l_quantity")))

@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tabwise.operators import critic, eda, forecast, relate, roles, segments, stats, supervised
+from tabwise.operators import critic, eda, forecast, information, relate, roles, segments, stats, stl, supervised
 from tabwise.operators import matrix as mx
 from tabwise.plans.catalog import load, query, rounded, sql_union
 
@@ -143,6 +143,32 @@ def t14(spark, d):
     return rounded(relate.mutual_information(_derived(spark, d).drop("s"), ["q", "p", "w"], "v"), mi=6)
 
 
+_SPENDING = "(SELECT c_custkey, ln(any_value(c_acctbal)::DOUBLE + 2000) AS balance, avg(o_totalprice)::DOUBLE AS price, sum(o_totalprice)::DOUBLE AS spend FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"
+_PSI = lambda n: f"(ln({n} + 10) - 1 / (2.0 * ({n} + 10)) - 1 / (12 * pow({n} + 10, 2)) + 1 / (120 * pow({n} + 10, 4)) - 1 / (252 * pow({n} + 10, 6)) + 1 / (240 * pow({n} + 10, 8)) - list_sum([1.0 / ({n} + i) for i in range(10)]))"
+
+
+def _neighbor_sql(x: str) -> str:
+    return f"""SELECT '{x}' AS feature, round(greatest(0, any_value({_PSI('m')}) + {_PSI('3')} - avg({_PSI('nx')} + {_PSI('ny')})), 6) AS mi FROM (
+        SELECT a.i, any_value(a.m)::DOUBLE AS m, (count(*) FILTER (abs(a.x - b.x) < r))::DOUBLE AS nx, (count(*) FILTER (abs(a.y - b.y) < r))::DOUBLE AS ny FROM
+          (SELECT p.i, any_value(p.m) AS m, any_value(p.x) AS x, any_value(p.y) AS y, list_sort(list(greatest(abs(p.x - q.x), abs(p.y - q.y))))[3] AS r FROM s_{x} p JOIN s_{x} q ON p.i <> q.i GROUP BY p.i) a, s_{x} b GROUP BY a.i)"""
+
+
+@query(
+    "t14_neighbor_information",
+    "WITH " + ", ".join(f"s_{x} AS (SELECT c_custkey AS i, {x} / stddev_pop({x}) OVER () AS x, spend / stddev_pop(spend) OVER () AS y, count(*) OVER () AS m FROM {_SPENDING})" for x in ("balance", "price"))
+    + " " + sql_union(_neighbor_sql(x) for x in ("balance", "price")),
+)
+def t14_neighbors(spark, d):
+    o, c = load(spark, d, "orders"), load(spark, d, "customer")
+    per = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.log(F.first("c_acctbal") + 2000).alias("balance"), F.avg("o_totalprice").alias("price"), F.sum("o_totalprice").alias("spend"))
+    return rounded(information.neighbor_information(per, ["balance", "price"], "spend"), mi=6)
+
+
+@query("t14_class_information")
+def t14_classes(spark, d):
+    return information.class_information(load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag")
+
+
 # ---------------------------------------------------------------- trends
 
 
@@ -173,6 +199,12 @@ def t8_strength(spark, d):
     return rounded(stats.component_strength(parts), seasonal_strength=6, trend_strength=6)
 
 
+@query("t8_stl")
+def t8_stl(spark, d):
+    series = stats.mean_series(load(spark, d, "lineitem"), "l_shipdate", "l_quantity")
+    return stl.stl(series, stats.decomposition_period(series.count()))
+
+
 @query("g1_series_index", "SELECT l_shipdate AS ts, count(*) AS n, row_number() OVER (ORDER BY l_shipdate) - 1 AS idx FROM lineitem GROUP BY 1")
 def g1(spark, d):
     series = load(spark, d, "lineitem").groupBy(F.col("l_shipdate").alias("ts")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwise.functions import dist
-from tabwise.operators import anomalies, charts, forecast, neighbors, ordering, relate, roles, segments, stats, supervised
+from tabwise.operators import anomalies, charts, density, forecast, neighbors, ordering, relate, roles, segments, stats, supervised
 
 
 def table(spark, pdf, parts=4):
@@ -151,7 +151,7 @@ def test_density_groups(spark):
     rng = np.random.default_rng(2)
     p = np.vstack([rng.normal((0, 0), 0.3, (100, 2)), rng.normal((20, 20), 0.3, (100, 2)), [[9.0, 9.0], [-30.0, 4.0]]])
     df = table(spark, pd.DataFrame(p, columns=["a", "b"]).assign(id=np.arange(202)))
-    r = neighbors.density_summary(neighbors.density_groups(df, ["a", "b"], "id", 8)).first()
+    r = density.density_summary(density.density_clusters(df, ["a", "b"], "id", 8, 8)).first()
     assert r["n_clusters"] == 2 and r["n_noise"] >= 2
 
 
