@@ -117,3 +117,18 @@ def test_windows_and_far_scores():
     big, raw, score = [a.to_pylist() for a in vectors.score_arrays(far)]
     assert [vectors.score_value(*r) for r in zip(big, raw, score)] == far
     assert sorted(range(5), key=lambda i: (big[i], raw[i] or b"", score[i] or 0)) == [3, 1, 4, 0, 2]
+
+
+@pytest.mark.parametrize("huge", [(2.0**23, 2.0**40), (1e300,)])
+def test_top_k_with_large_components(spark, huge):
+    from tabwise.llm import topk
+
+    rows = vector_rows(huge=huge)
+    df = spark.createDataFrame([(*r, "x", 0.1) for r in rows], "vec_id long, label int, embedding array<double>, big string, score double").repartition(3)
+    sound = [(i, whole(v)) for i, _, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in sound if i % 10 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, x)), j) for j, x in sound if j != q and len(x) == len(v))[:5]
+        want += [(q, rank, j, -s if abs(s) < 2**63 else None) for rank, (s, j) in enumerate(best, 1)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 60
