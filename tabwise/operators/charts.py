@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwise import config
 from tabwise.functions import text as tx
-from tabwise.operators import ordering
+from tabwise.operators import blocks, ordering
 
 # Resampling rules (least span in seconds, rule) and report limits.
 RESAMPLE_RULES = ((3 * 365 * 86400, "W"), (60 * 86400, "D"), (2 * 86400, "H"), (2 * 3600, "5min"), (0, "30s"))
@@ -301,8 +301,8 @@ def time_series(df: DataFrame, x: str, y: str, agg: str = "mean", threshold: int
 
 
 def trendline(series: DataFrame, order: str, y: str) -> DataFrame:
-    """(slope, intercept) of y over its point index, from five finite points on. Input is a chart series."""
-    idx = series.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).filter(F.col(y).isNotNull())
+    """(slope, intercept) of y over its point index, from five finite points on."""
+    idx = blocks.numbered(blocks.in_order(series, [order]), "i").filter(F.col(y).isNotNull())
     return idx.agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, "i").alias("slope"), F.regr_intercept(y, "i").alias("intercept")
     ).filter("n >= 5").select("slope", "intercept")

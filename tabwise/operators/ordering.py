@@ -1,9 +1,8 @@
 """Exact order statistics without a single-task sort: positions, ranks and quantiles.
 
 Values are first counted (``groupBy(value)``, so a value held by a third of the rows is one row from
-there on), then cut into value ranges whose borders come from a quantile sketch. The sketch only places
-the borders; every answer comes from exact counts. A range is a pure function of the value, so re-run
-tasks agree with each other.
+there on). Ranks put the counted values of all columns in order at once, in blocks whose starts are carried
+(``blocks``). Quantiles come from brackets a sketch proposes and exact counts prove.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise import config
+from tabwise.operators import blocks
 from tabwise.session import several_passes, spread
 
 INF = float("inf")
@@ -63,26 +63,17 @@ def positions(df: DataFrame, cols: list[str], weight: str | None = None, task_ro
     if rows <= task_rows:
         within = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         return counted.withColumn("before", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-    ranges = int(min(2048, math.ceil(rows / task_rows) + 1))
-    cuts = _cut_points(df, cols, ranges)
-    part = F.lit(0)
-    for c in cols:
-        if cuts[c]:
-            part = F.when(F.col("name") == c, range_index(F.col("value"), cuts[c])).otherwise(part)
-    counted = counted.withColumn("part", part)
-    # One row per (name, range): bounded by columns x ranges, so this small window and broadcast are safe.
-    earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        counted.groupBy("name", "part").agg(F.sum("cnt").alias("part_cnt"))
-        .withColumn("offset", F.coalesce(F.sum("part_cnt").over(earlier), F.lit(0)))
-        .drop("part_cnt")
-    )
-    within = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counted.join(F.broadcast(offsets), ["name", "part"])
-        .withColumn("before", F.col("offset") + F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-        .select("name", "value", "cnt", "before")
-    )
+    # all columns are put in order together; what a block starts from is one number per block
+    placed = blocks.in_order(counted, ["name", "value"], task_rows)
+    starts = blocks.starts(placed, _start=F.sum("cnt"))
+    run = F.coalesce(F.sum("cnt").over(blocks.within().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = placed.withColumn("_run", run).join(F.broadcast(starts), blocks.BLOCK).withColumn("_all", F.col("_start") + F.col("_run"))
+    totals = dict(placed.groupBy("name").agg(F.sum("cnt")).collect())  # one row per column
+    first, at = {}, 0
+    for name in sorted(totals):
+        first[name], at = at, at + totals[name]
+    offsets = df.sparkSession.createDataFrame(list(first.items()), "name string, _first long")
+    return summed.join(F.broadcast(offsets), "name").select("name", "value", "cnt", (F.col("_all") - F.col("_first")).alias("before"))
 
 
 def average_ranks(df: DataFrame, cols: list[str], task_rows: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from tabwise import config
 from tabwise.functions import dist
 from tabwise.functions import text as tx
 from tabwise.operators import ordering
-from tabwise.session import spread
+from tabwise.session import cut_lineage, spread
 
 
 def aligned(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,13 +89,30 @@ def spearman_pairs(df: DataFrame, cols: list[str], min_rows: int = 8, task_rows:
     return out.filter(F.col("n") >= min_rows)
 
 
-def _rank_correlations(rows: DataFrame, members: list[str], pairs: list[tuple], total: int, task_rows: int | None) -> DataFrame:
-    ranks = ordering.average_ranks(rows, members, task_rows)
-    heavy = max(config.BROADCAST_ROWS, total // 1000)
+def _rank_correlations(rows: DataFrame, members: list[str], pairs: list[tuple], total: int, task_rows: int | None, broadcast_rows: int | None = None) -> DataFrame:
+    """Columns of few distinct values get their ranks by broadcast; all others together: one shuffle of their cells to
+    the ranks, one back to the rows, however many columns there are."""
+    most = config.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    ranks = cut_lineage(ordering.average_ranks(rows, members, task_rows))
+    sizes = dict(ranks.groupBy("name").agg(F.count(F.lit(1))).collect())  # one row per column
+    large = [c for c in members if sizes.get(c, 0) > most]
     placed = rows
     for c in members:
-        table = ranks.filter(F.col("name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"r_{c}"), "cnt")
-        placed = ordering.join_on_value(placed, table, [c], heavy, total).drop(c)
+        if c not in large:
+            table = ranks.filter(F.col("name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"r_{c}"))
+            placed = placed.join(F.broadcast(table), c).drop(c)
+    heavy = max(config.BROADCAST_ROWS, total // 1000)
+    if len(large) == 1:
+        table = ranks.filter(F.col("name") == large[0]).select(F.col("value").alias(large[0]), F.col("rank").alias(f"r_{large[0]}"), "cnt")
+        placed = ordering.join_on_value(placed, table, large, heavy, total)
+    elif large:
+        placed = cut_lineage(placed.withColumn("_row", F.monotonically_increasing_id()))
+        cells = [e for c in large for e in (F.lit(c), F.col(c))]
+        long = placed.select("_row", F.stack(F.lit(len(large)), *cells).alias("name", "value"))
+        ranked = ordering.join_on_value(long, ranks.select("name", "value", "rank", "cnt"), ["name", "value"], heavy, total * len(large))
+        back = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("name") == c, F.col("rank"))).alias(f"r_{c}") for c in large])
+        kept = [c for c in placed.columns if c not in (*large, "_row")]
+        placed = placed.select("_row", *kept).join(back, "_row") if kept else back
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"r_{a}", f"r_{b}").alias("rho"), F.count(F.lit(1)).alias("n")) for a, b in pairs]
     return placed.agg(F.array(*cells).alias("p")).select(F.inline("p"))
 

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwise.operators import blocks
+from tabwise.session import cut_lineage
+
 # ---- Fixed values: alert rules ------------------------------------------------------------------
 ERROR_BUDGET = 0.005
 BURN_RULES = (("fast", "1 hour", 14.4), ("slow", "6 hours", 6.0))
@@ -157,17 +160,21 @@ def windowed_quantile(events: DataFrame, value: str, size: str = "10 minutes", q
     return w.filter("n > 0").select(*by, F.col("w.start").alias("start"), "n", out.alias("quantile"))
 
 
-def sustained(events: DataFrame, value: str, threshold: float, hold: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+def sustained(events: DataFrame, value: str, threshold: float, hold: str = "5 minutes", step: str = "1 minute", block_steps: int = 500_000) -> DataFrame:
     """(start, stop, steps, low, firing): runs of steps in which the gauge stayed above ``threshold``.
 
     Samples are brought to one row per step first, so what is ordered grows with the time covered, not with the
-    samples. Steps without a sample keep what was last seen; a run fires once it has lasted for ``hold``.
+    samples, in blocks that carry the run they end in. Steps without a sample keep what was last seen; a run fires once it has lasted for ``hold``.
     """
     ticks = events.filter(F.col(value).isNotNull()).groupBy(F.window("ts", step).start.alias("at")).agg(F.min(value).alias("low"))
-    over = F.col("low") > threshold
-    line = Window.orderBy("at")
-    turned = ticks.withColumn("over", over).withColumn("run", F.sum(F.when(F.coalesce(F.lag("over").over(line) == F.col("over"), F.lit(False)), 0).otherwise(1)).over(line))
-    ended = turned.withColumn("next", F.lead("at").over(line))
+    placed = blocks.numbered(blocks.in_order(ticks.withColumn("over", F.col("low") > threshold), ["at"], block_steps))
+    line = Window.partitionBy("halo").orderBy("idx")
+    near = blocks.with_halo(placed, "idx", 1, block_steps)
+    turn = F.when(F.coalesce(F.lag("over").over(line) == F.col("over"), F.lit(False)), 0).otherwise(1)
+    ended = near.withColumns({"turn": turn, "next": F.lead("at").over(line)}).filter("own").withColumn(blocks.BLOCK, F.col("halo").cast("int"))
+    ended = cut_lineage(ended)
+    before = blocks.starts(ended, _turns=F.sum("turn"))
+    ended = ended.join(F.broadcast(before), blocks.BLOCK).withColumn("run", F.col("_turns") + F.sum("turn").over(line))
     runs = ended.filter("over").groupBy("run").agg(F.min("at").alias("start"), F.max(F.coalesce("next", "at")).alias("stop"), F.count(F.lit(1)).alias("steps"), F.min("low").alias("low"))
     return runs.select("start", "stop", "steps", "low", (F.col("stop") >= F.col("start") + F.expr(f"INTERVAL {hold}")).alias("firing"))
 

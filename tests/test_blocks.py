@@ -212,3 +212,46 @@ def test_information_about_classes(spark):
 def test_digamma(spark):
     rows = spark.createDataFrame([(n,) for n in (1, 2, 3, 10, 1000)], "n long").select("n", information.digamma(F.col("n")).alias("p")).collect()
     assert all(r.p == pytest.approx(psi(r.n), abs=1e-12) for r in rows)
+
+
+# ---------------------------------------------------------------- ranks, runs, lines
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_spearman_of_many_columns(spark, most, monkeypatch):
+    from tabwise import config
+    from tabwise.operators import relate
+
+    monkeypatch.setattr(config, "BROADCAST_ROWS", most)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": rng.integers(0, 5, 300), "c": rng.normal(size=300).round(1)})
+    pdf["d"] = pdf.a + pdf.b
+    got = {(r.a, r.b): r.rho for r in relate.spearman_pairs(frame(spark, pdf), list("abcd"), task_rows=70).collect()}
+    want = pdf.corr("spearman")
+    assert len(got) == 6 and all(v == pytest.approx(want.loc[k]) for k, v in got.items())
+
+
+def test_runs_over_a_threshold(spark):
+    from tabwise.streaming import logs
+
+    rng = np.random.default_rng(10)
+    v = np.repeat(rng.integers(0, 2, 60), rng.integers(1, 9, 60)) * 10.0
+    pdf = pd.DataFrame({"ts": pd.date_range("2022-01-01", periods=len(v), freq="min"), "v": v})
+    got = sorted((r.start.minute + 60 * r.start.hour, r.steps, r.firing) for r in logs.sustained(frame(spark, pdf), "v", 5.0, block_steps=7).collect())
+    want, i = [], 0
+    while i < len(v):
+        j = i
+        while j < len(v) and v[j] == v[i]:
+            j += 1
+        if v[i] > 5:
+            want.append((i, j - i, (j if j < len(v) else j - 1) - i >= 5))
+        i = j
+    assert got == want
+
+
+def test_trendline_over_blocks(spark):
+    from tabwise.operators import charts
+
+    pdf = pd.DataFrame({"t": np.arange(50), "y": 3 + 2.0 * np.arange(50)})
+    r = charts.trendline(frame(spark, pdf), "t", "y").first()
+    assert (r.slope, r.intercept) == (pytest.approx(2), pytest.approx(3))
