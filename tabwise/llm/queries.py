@@ -73,10 +73,11 @@ OP5_SQL = (
     "WITH spans AS ("
     + " UNION ALL ".join(
         [
+            # the base kinds in the contract's words, the others from the rules, which both engines read alike
             _duck_spans("assign", 0, """(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
             _duck_spans("access", 1, "AKIA[A-Z0-9]+", 20),
             _duck_spans("hex", 2, "[0-9a-f]+", 24),
-            _duck_spans("pem", 3, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+            *[_duck_spans(r.kind, i, r.pattern) for i, r in enumerate(secrets.RULES) if not r.base],
         ]
     )
     + """)

@@ -6,7 +6,8 @@ intersected per alternative, and candidates are verified with the rule's regular
 trigrams (a run of hexadecimal digits) scans every text.
 
 Spans come from the pieces between matches: splitting at the pattern and extracting all matches give the same
-leftmost non-overlapping matches, and their lengths add up to positions in code points.
+leftmost non-overlapping matches, and their lengths add up to positions in code points. Only lengths leave the row:
+texts are neither shuffled nor copied, and a text of any number of secrets costs time in proportion to them.
 
 Defined results: null text is empty and has no spans; rows that repeat id and text get the same result; an empty
 table gives no rows.
@@ -19,9 +20,11 @@ import re._parser as patterns
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwise.session import cut_lineage
+
 MAX_ALTERNATIVES = 64
 
 
@@ -42,7 +45,29 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", base=False),
+    Rule("github", r"(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}", base=False),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{60}", base=False),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20}", base=False),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,72}", base=False),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,60}", base=False),
+    Rule("google_api", r"AIza[A-Za-z0-9_-]{35}", base=False),
+    Rule("google_oauth", r"[0-9]{6,20}-[a-z0-9]{20,40}\.apps\.googleusercontent\.com", base=False),
+    Rule("stripe", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,99}", base=False),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}", base=False),
+    Rule("pypi", r"pypi-AgE[A-Za-z0-9_-]{50,200}", base=False),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}", base=False),
+    Rule("mailgun", r"key-[0-9a-z]{32}", base=False),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9a-fA-F]{32}", base=False),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]{64}", base=False),
+    Rule("square", r"sq0(atp|csp)-[A-Za-z0-9_-]{22,43}", base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,400}\.eyJ[A-Za-z0-9_-]{10,800}\.[A-Za-z0-9_-]{10,400}", base=False),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/]{40,100}", base=False),
+    Rule("basic_url", r"https?://[A-Za-z0-9_.-]{1,40}:[A-Za-z0-9_.!*-]{3,60}@", base=False),
+    Rule("putty", r"PuTTY-User-Key-File-[23]", base=False),
+    Rule("age", r"AGE-SECRET-KEY-1[0-9A-Z]{58}", base=False),
 )
+#: Candidate keys up to this many are sent to the texts (16 bytes and a few kinds each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def trigram_query(pattern: str) -> list[set[str]]:
@@ -61,7 +86,7 @@ def trigram_query(pattern: str) -> list[set[str]]:
                 ways = {chr(arg)}
             elif name == "SUBPATTERN":
                 ways = fixed(arg[3])
-            elif name == "BRANCH":
+            elif name in ("BRANCH", "IN"):
                 ways = fixed([(op, arg)])
             elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] == 1 and (inner := fixed(arg[2])) is not None:
                 ways = inner | {""} if arg[0] == 0 else inner
@@ -84,6 +109,8 @@ def trigram_query(pattern: str) -> list[set[str]]:
             elif name == "BRANCH":
                 parts = [fixed(x) for x in arg[1]]
                 ways = None if None in parts else set().union(*parts)
+            elif name == "IN":
+                ways = {chr(x) for kind, x in arg} if all(str(kind) == "LITERAL" for kind, _ in arg) else None
             elif name == "SUBPATTERN":
                 ways = fixed(arg[3])
             elif name == "MAX_REPEAT" and arg[1] == 1:
@@ -127,36 +154,37 @@ def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: s
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def rule_spans(rule: Rule, text: Column, order: int) -> Column:
-    """array<struct<start, ord, stop, kind>> of a rule's matches in a text, positions in code points."""
-    pattern = ("(?i)" if rule.any_case else "") + rule.pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), sized.alias("part"))
-    span = "array<struct<start:int,ord:int,stop:int,kind:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+_PIECE = "array<struct<ord:int,pos:int,gap:int,hit:int,part:int>>"
 
-    def step(acc, x):
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(a.alias("start"), F.lit(order).alias("ord"), b.alias("stop"), F.lit(rule.kind).alias("kind"))
-        stands = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.least)
-        return F.struct(b.alias("at"), F.when(stands, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(span))
+def rule_pieces(rule: Rule, text: Column, order: int) -> Column:
+    """Lengths of the stretches before a rule's matches, of the matches and of the parts that count, in order."""
+    pattern = ("(?i)" if rule.any_case else "") + rule.pattern
+    lengths = [F.transform(a, lambda x: F.length(x)) for a in (F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)))]
+    zipped = F.arrays_zip(*[a.alias(n) for a, n in zip(lengths, ("gap", "hit", "part"))])
+    pieces = F.transform(zipped, lambda x, i: F.struct(F.lit(order).alias("ord"), i.alias("pos"), x["gap"].alias("gap"), x["hit"].alias("hit"), x["part"].alias("part")))
+    return F.when(text.rlike(pattern), pieces).otherwise(F.array().cast(_PIECE))
 
 
 def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, __spans): the spans of each document as (start, ord, stop, kind), by start and rule order."""
     indexed = {r.kind for r in rules if trigram_query(r.pattern)}
     rows = docs.select(id_col, _key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    joined = rows.join(candidates(docs, rules, id_col, text_col), "key", "left")
-    parts = []
-    for i, r in enumerate(rules):
-        spans = rule_spans(r, F.col("t"), i)
-        none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
-        parts.append(F.when(F.array_contains("kinds", r.kind), spans).otherwise(none) if r.kind in indexed else spans)
-    return joined.select(id_col, F.array_sort(F.concat(*parts)).alias("__spans"))
+    keys = cut_lineage(candidates(docs, rules, id_col, text_col))
+    joined = rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left")
+    none = F.array().cast(_PIECE)
+    parts = [F.when(F.array_contains("kinds", r.kind), rule_pieces(r, F.col("t"), i)).otherwise(none) if r.kind in indexed else rule_pieces(r, F.col("t"), i) for i, r in enumerate(rules)]
+    mark = F.array(F.struct(*[F.lit(v).cast("int").alias(n) for n, v in (("ord", -1), ("pos", 0), ("gap", 0), ("hit", None), ("part", None))]))
+    # one row per document and one per match: lengths only
+    numbered = joined.withColumn("rid", F.monotonically_increasing_id())
+    lone = cut_lineage(numbered.select("rid", id_col, F.inline(F.concat(mark, *parts))))
+    upto = F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(Window.partitionBy("rid", "ord").orderBy("pos"))
+    placed = lone.repartition("rid").withColumn("stop", upto.cast("int"))
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.greatest(F.col("ord"), F.lit(0)) + 1)
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.greatest(F.col("ord"), F.lit(0)) + 1)
+    one = F.struct((F.col("stop") - F.col("hit")).alias("start"), "ord", "stop", kind.alias("kind"))
+    stands = (F.col("ord") >= 0) & F.col("hit").isNotNull() & (F.col("part") >= least)
+    return placed.groupBy("rid").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.when(stands, one))).alias("__spans")).select(id_col, "__spans")
 
 
 def report(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
