@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabwise.functions import text as tx
@@ -39,6 +40,21 @@ def c20(spark, d):
     return charts.category_counts(one, "only")
 
 
+@query("c20_kept_and_suppressed", "SELECT 'lang' AS name, lang AS category, count(*) AS count FROM documents GROUP BY 2")
+def c20_both(spark, d):
+    """Of a constant column and one of several values, only the second has a chart."""
+    docs = load(spark, d, "documents").withColumn("only", F.lit("same"))
+    return charts.category_counts(docs, "only").select(F.lit("only").alias("name"), "category", "count").unionByName(charts.category_counts(docs, "lang").select(F.lit("lang").alias("name"), "category", "count"))
+
+
+@query("c20_flat_scatter", "SELECT 'scatter' AS kind, count(*) AS n FROM supplier WHERE s_acctbal IS NOT NULL")
+def c20_scatter(spark, d):
+    """A scatter with a flat side is not drawn; one of both columns' spread is."""
+    s = load(spark, d, "supplier").withColumn("flat", F.lit(3.0))
+    drawn = [charts.scatter(s, x, "s_suppkey") for x in ("flat", "s_acctbal")]
+    return union_all([points.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")) for kind, points in drawn if points is not None])
+
+
 @query("a10_pie", "SELECT p_name AS category, count(*) AS value FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def a10(spark, d):
     return charts.pie(load(spark, d, "part"), "p_name")
@@ -94,6 +110,12 @@ def c15_values(spark, d):
     return rounded(df.withColumn("value", clip.apply(F.col("value"))), value=6)
 
 
+@query("w1_discrete_whole", "SELECT 'discrete' AS mode, n_regionkey::DOUBLE AS value, count(*) AS count FROM nation GROUP BY 2")
+def w1_whole(spark, d):
+    mode, bars = charts.histogram(load(spark, d, "nation"), "n_regionkey")
+    return bars.select(F.lit(mode).alias("mode"), "value", "count")
+
+
 @query("w1_discrete", "SELECT l_linenumber::DOUBLE AS value, count(*) AS count FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1")
 def w1(spark, d):
     mode, bars = charts.histogram(load(spark, d, "lineitem").filter("l_linenumber <= 6"), "l_linenumber")
@@ -135,6 +157,19 @@ def w5(spark, d):
     return rounded(charts.equal_width_histogram(values, 10), lower=6, upper=6)
 
 
+_TWO_HEAPS = "(SELECT CASE WHEN r <= 5 THEN [21, 37, 52, 66, 83][r] WHEN o_custkey % 2 = 0 THEN 0 ELSE 100 END::DOUBLE AS v FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders))"
+
+
+@query("w5_rebinned", f"SELECT 'sparse' AS mode, b::INT AS bin, (b - 1) * 10.0::DOUBLE AS lower, b * 10.0::DOUBLE AS upper, coalesce(n, 0) AS count FROM range(1, 11) t(b) LEFT JOIN (SELECT greatest(1, ceil(v / 10))::INT AS bin, count(*) AS n FROM {_TWO_HEAPS} GROUP BY 1) ON bin = b")
+def w5_rebinned(spark, d):
+    """Two heaps and five rows between them: most of the twenty bins are empty, so the histogram takes ten."""
+    orders = load(spark, d, "orders")
+    first = orders.orderBy("o_orderkey").limit(5).select("o_orderkey", F.element_at(F.array(*[F.lit(v) for v in (21.0, 37.0, 52.0, 66.0, 83.0)]), F.row_number().over(Window.orderBy("o_orderkey"))).alias("between"))  # five rows
+    heaps = orders.join(F.broadcast(first), "o_orderkey", "left").select(F.coalesce("between", F.when(F.col("o_custkey") % 2 == 0, 0.0).otherwise(100.0)).alias("v"))
+    mode, bars = charts.histogram(heaps, "v")
+    return bars.select(F.lit(mode).alias("mode"), "bin", "lower", "upper", "count")
+
+
 @query(
     "w6_hist2d",
     """WITH s AS (SELECT min(l_quantity) AS x0, (max(l_quantity) - min(l_quantity)) / 30 AS wx, min(l_extendedprice) AS y0, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS wy FROM lineitem),

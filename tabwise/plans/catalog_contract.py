@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwise.functions import text as tx
-from tabwise.operators import clean, contract, critic, eda, filters, forecast, profile, roles, stats, supervised
+from tabwise.operators import calc, clean, contract, critic, eda, filters, forecast, profile, roles, stats, supervised
 from tabwise.plans import interact
-from tabwise.plans.catalog import load, profile_of, query, rounded, sql_union, union_all
+from tabwise.plans.catalog import fields_of, load, profile_of, query, rounded, sql_union, union_all
 from tabwise.plans.dashboard import quality_report
 
 # ---------------------------------------------------------------- the role rules once more, in SQL
@@ -330,6 +330,13 @@ def f7(spark, d):
     return rounded(profile.text_signals(df, ["day"], strict_compat=False).select("name", "ambiguous_share"), ambiguous_share=8)
 
 
+@query("f7_ambiguous_default", "SELECT 'day' AS name, 0.0::DOUBLE AS ambiguous_share, count(*) AS n FROM orders")
+def f7_default(spark, d):
+    """As observed: the test of ambiguous days never fires."""
+    df = load(spark, d, "orders").select(F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"))
+    return profile.text_signals(df, ["day"]).select("name", "ambiguous_share").crossJoin(F.broadcast(df.agg(F.count("day").alias("n"))))  # one row each
+
+
 @query("f8_uuid", sql_union(f"SELECT '{c}' AS name, round(count_if(regexp_matches({c}, '(?i)^[A-F0-9]{{8}}-[A-F0-9]{{4}}-[A-F0-9]{{4}}-[A-F0-9]{{4}}-[A-F0-9]{{12}}$'))::DOUBLE / count({c}), 8) AS uuid_share FROM {_TEXTS}" for c in ("token", "iso_day")))
 def f8(spark, d):
     return rounded(profile.text_signals(_texts(spark, d).select("token", "iso_day"), ["token", "iso_day"]).select("name", "uuid_share"), uuid_share=8)
@@ -346,6 +353,16 @@ def f14(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.format_string("filter.%s==%s", "o_orderstatus", "o_orderpriority").alias("token"))
 
 
+@query(
+    "f14_filter_tokens",
+    "SELECT 'o_orderstatus' AS \"column\", '==' AS op, v AS value, (SELECT count(*) FROM orders WHERE o_orderstatus = v) AS count, 'filter.o_orderstatus==' || v AS token FROM (SELECT unnest(['F', 'O', 'P', 'none']) AS v)",
+)
+def f14_tokens(spark, d):
+    """Counts that carry the provenance of their filter, as the guarded calculation gives them."""
+    orders, contract = load(spark, d, "orders"), fields_of(spark, d, "orders")
+    return union_all([calc.filter_count(orders, contract, "o_orderstatus", "==", v) for v in ("F", "O", "P", "none")])
+
+
 @query("f17_text_form", "SELECT o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN CASE WHEN o_custkey > 700 THEN 'True' ELSE 'False' END ELSE 'None' END AS flag, CASE WHEN o_custkey % 3 > 0 THEN (o_custkey::DOUBLE)::VARCHAR ELSE 'nan' END AS num FROM orders")
 def f17(spark, d):
     c = F.col("o_custkey")

@@ -290,6 +290,19 @@ def c8(spark, d):
     return clean.manifest_counts(_dirty(spark, d, key=False))
 
 
+@query(
+    "c8_gate_manifest",
+    f"""SELECT count(*) AS original_rows, 2::INT AS original_cols, count_if(NOT e) AS cleaned_rows, 2::INT AS cleaned_cols, 0::INT AS coerced,
+    sum(a::INT)::BIGINT AS priority_nulled, sum(b::INT)::BIGINT AS status_nulled, count_if(e) AS dropped_null_rows
+    FROM (SELECT lower(trim(priority)) IN {_SENT} AS a, lower(trim(status)) IN {_SENT} AS b, a AND b AS e FROM ({_DIRTY}))""",
+)
+def c8_gate(spark, d):
+    """The manifest that a run of the gate returns."""
+    found = clean.manifest_table(spark, clean.run_gate(_dirty(spark, d, key=False)).manifest)
+    nulled = [F.col("sentinels_nulled")[c].alias(f"{c}_nulled") for c in ("priority", "status")]
+    return found.select("original_rows", "original_cols", "cleaned_rows", "cleaned_cols", F.size("coerced_numeric").alias("coerced"), *nulled, "dropped_null_rows")
+
+
 # the same patterns; the SQL engine has no look-around, so the phone pattern takes its neighbours along
 _PII = {**tx.PII_PATTERNS, "PHONE_NUMBER": r"(?:^|[^0-9])" + tx.PII_PATTERNS["PHONE_NUMBER"].removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)") + r"(?:[^0-9]|$)"}
 
