@@ -363,15 +363,15 @@ def chart_data(df: DataFrame, intent: str, x: str, y: str | None, agg: str | Non
     return None
 
 
-def build_charts(df: DataFrame, specs: list[dict], max_charts: int = config.MAX_CHARTS, failed: list | None = None) -> list[dict]:
+def build_charts(df: DataFrame, specs: list[dict], max_charts: int = config.MAX_CHARTS, failed: list | None = None, identifiers: frozenset = frozenset()) -> list[dict]:
     """Chart data per spec: known intents only, unique ids, at most ``max_charts``, tagged with a section. Specs whose
-    chart raised are put into ``failed`` with the reason."""
+    chart raised are put into ``failed`` with the reason; specs that show an identifier are left out."""
     failed = [] if failed is None else failed
     out, seen = [], set()
     for spec in specs:
         intent, x, y, sid = spec.get("intent"), spec.get("x_field"), spec.get("y_field"), spec.get("id")
         needed = [c for c in (x, y) if c]
-        if len(out) >= max_charts or sid in seen or any(c not in df.columns for c in needed):
+        if len(out) >= max_charts or sid in seen or any(c not in df.columns or c in identifiers for c in needed):
             continue
         try:
             data = chart_data(df, intent, x, y, spec.get("agg_func"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabwise import config
 from tabwise.functions import text as tx
 from tabwise.operators import anomalies, charts, clean, contract, critic, eda, forecast, relate, roles, segments, stats, supervised
-from tabwise.sources import readers
+from tabwise.sources import readers, stores
 
 
 @dataclass
@@ -30,6 +30,11 @@ class Dashboard:
     statistics: dict = field(default_factory=dict)
     ml: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Let go of the cached frame once nothing more is asked of it."""
+        if self.df is not None:
+            self.df.unpersist()
+
 
 def quality_report(spec: contract.Contract, fields: DataFrame, gate: clean.CleanResult, crit: dict, consent: bool = False) -> dict:
     a = contract.acceptance(fields, bool(spec.grain)).first()
@@ -42,8 +47,14 @@ def quality_report(spec: contract.Contract, fields: DataFrame, gate: clean.Clean
 
 
 def build_dashboard(spark: SparkSession, path: str | None = None, df: DataFrame | None = None, key: list[str] | None = None,
-                    with_statistics: bool = False, with_ml: bool = False, review_gate: bool = False) -> Dashboard:
-    """Everything the analysis shows. The cleaned frame is cached once, the profile is computed once."""
+                    with_statistics: bool = False, with_ml: bool = False, review_gate: bool = False,
+                    contracts: stores.ContractStore | None = None, suggestions: DataFrame | None = None, now: float = 0.0) -> Dashboard:
+    """Everything the analysis shows. The cleaned frame is cached once (``release`` lets go of it), the profile is computed once.
+
+    ``suggestions`` (name, role) are outside opinions on roles, taken where the guard of keys allows it. With a store of
+    ``contracts``, a table whose fingerprint has a locked contract is read by that contract, roles included, and no
+    review is asked for; other accepted contracts are kept there.
+    """
     out = Dashboard()
     if df is None:
         loaded = readers.load_table(spark, path)
@@ -64,12 +75,25 @@ def build_dashboard(spark: SparkSession, path: str | None = None, df: DataFrame
     if crit["vetoes"]:
         vetoes = spark.createDataFrame([(v["column"], v["from_role"], v["to_role"]) for v in crit["vetoes"]], "column string, from_role string, to_role string")
         roled = roles.settle(critic.apply_vetoes(roled, vetoes))
+    arbitrated: list[dict] = []
+    if suggestions is not None:
+        settled = roles.settle(contract.role_overrides_allowed(roled, suggestions, contract.KEY_NAME))
+        arbitrated = [r.asDict() for r in settled.filter("changed").select("name", "old_role", "role").collect()]
+        roled = settled.drop("changed", "old_role")
     out.contract, fields = contract.compile_contract(frame, roled, gate)
     fields = roles.settle(fields)
+    out.quality = quality_report(out.contract, fields, gate, crit) | {"arbitrated": arbitrated, "reused_contract": False}
+    known = contracts.locked(out.contract.schema_fingerprint) if contracts else None
+    if known:
+        out.contract = replace(known, n_rows=out.contract.n_rows, n_cols=out.contract.n_cols, aggregate_row_count=out.contract.aggregate_row_count,
+                               pii_blocked=known.pii_blocked or out.contract.pii_blocked, sensitivity=max(known.sensitivity, out.contract.sensitivity, key=("public", "sensitive").index))
+        roled = _roles_of(out.contract, roled)
+        out.quality |= {"status": "ok", "reused_contract": True, "grain": list(known.grain)}
     out.profile = roled
-    out.quality = quality_report(out.contract, fields, gate, crit)
     if out.quality["status"] == "ok":
-        out.contract = out.contract.with_lock(bump=False)
+        out.contract = out.contract if known else out.contract.with_lock(bump=False)
+        if contracts and not known:
+            contracts.save(out.contract, now)
     elif review_gate:
         return out
     _analyse(out, frame, roled, key, with_statistics, with_ml)
@@ -96,7 +120,10 @@ def _analyse(out: Dashboard, frame: DataFrame, roled: DataFrame, key, with_stati
     out.kpis = [r.asDict() for r in eda.kpis(roled, found).collect()]
     specs = [r.asDict() for r in eda.chart_specs(roled, found).collect()]
     failed: list = []
-    out.charts = charts.build_charts(frame, specs, failed=failed)
+    keys = frozenset(n for n, f in out.contract.fields.items() if f.is_identifier)
+    out.charts = charts.build_charts(frame, specs, failed=failed, identifiers=keys)
+    if not out.charts:  # nothing worth a spec: the standard set
+        out.charts = charts.default_charts(frame, [r for r in rows if r["name"] not in keys])
     out.warnings += [f"chart {f.get('id')}: {f['error']}" for f in failed]
 
 
@@ -148,12 +175,15 @@ def rebuild(out: Dashboard, overrides: DataFrame) -> Dashboard:
         "position int, name string, dtype string, role string, domain string, confidence double, aggregation string, is_identifier boolean, is_year boolean, is_ratio boolean, sensitivity string, pii_entities array<string>, allowed_aggregations array<string>, allowed_charts array<string>",
     )
     locked, fields = contract.apply_overrides(out.contract, plain, overrides)
-    tags = F.array_compact(F.array(F.when(F.col("aggregation") == "additive", "additive").when(F.col("aggregation") == "rate", "rate"), F.when(F.col("domain") == "monetary", "monetary")))
-    given = fields.select("name", F.col("role").alias("given_role"), tags.alias("given_tags"))
-    roled = roles.settle(
-        out.profile.join(F.broadcast(given), "name")  # one row per column
-        .withColumn("role", F.col("given_role")).withColumn("semantic_tags", F.col("given_tags")).drop("given_role", "given_tags")
-    )
+    roled = _roles_of(locked, out.profile)
     new = Dashboard(df=out.df, profile=roled, contract=locked, quality={**out.quality, "status": "ok", "human_reviewed": True, "auto_accepted": False})
     _analyse(new, out.df, roled, None, False, False)
     return new
+
+
+def _roles_of(spec: contract.Contract, roled: DataFrame) -> DataFrame:
+    """The profile with the roles and tags a contract gives its columns."""
+    given = roled.sparkSession.createDataFrame([(n, f.role, f.aggregation, f.domain) for n, f in spec.fields.items()], "name string, given_role string, aggregation string, given_domain string")
+    tags = F.array_compact(F.array(F.when(F.col("aggregation") == "additive", "additive").when(F.col("aggregation") == "rate", "rate"), F.when(F.col("given_domain") == "monetary", "monetary")))
+    joined = roled.join(F.broadcast(given), "name").withColumn("role", F.col("given_role")).withColumn("semantic_tags", tags)  # one row per column
+    return roles.settle(joined.drop("given_role", "aggregation", "given_domain"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabwise.operators import contract
+
 
 class FrameStore:
     """Cleaned frames under ``root/fingerprint=<fp>``, readable until their age passes the TTL."""
@@ -87,3 +92,34 @@ class DashboardStore:
         other = DashboardStore(self.spark, into)
         live(self.all(), now).write.mode("overwrite").parquet(other.path)
         return other
+
+
+class ContractStore:
+    """Contracts by schema fingerprint, append-only; the newest version of a fingerprint counts."""
+
+    schema = "fingerprint string, version int, locked boolean, saved_at double, payload string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/contracts"
+
+    def all(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.schema)
+
+    def save(self, spec: contract.Contract, now: float) -> None:
+        row = (spec.schema_fingerprint, spec.version, spec.locked, float(now), json.dumps(asdict(spec)))
+        self.spark.createDataFrame([row], self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+    def locked(self, fingerprint: str) -> contract.Contract | None:
+        """The newest contract of the fingerprint, if it is locked."""
+        store = self.all()
+        if not contract.locked_hit(store, fingerprint):
+            return None
+        row = contract.latest_contracts(store.filter(F.col("fingerprint") == fingerprint)).first()
+        kept = json.loads(row["payload"])
+        fields = {n: contract.Field(**{k: tuple(v) if isinstance(v, list) else v for k, v in f.items()}) for n, f in kept.pop("fields").items()}
+        return contract.Contract(**{**kept, "grain": tuple(kept["grain"])}, fields=fields)

@@ -200,6 +200,34 @@ def test_dashboard_and_override(spark):
     assert new.contract.version == out.contract.version + 1 and new.contract.fields["cost"].is_identifier and not new.insights
 
 
+def test_contract_is_kept_and_reused(spark, tmp_path):
+    from tabwise.sources.stores import ContractStore
+
+    store = ContractStore(spark, str(tmp_path))
+    made = lambda n: frame(spark, order_id=[f"O{i}" for i in range(n)], region=cycle(list("NSEW"), n), sales_amount=[float(10 + i % 13) for i in range(n)], cost=[float(20 + 2 * (i % 13)) for i in range(n)])
+    df = made(60)
+    first = dashboard.build_dashboard(spark, df=df, contracts=store, now=1.0)
+    assert not first.quality["reused_contract"] and store.locked(first.contract.schema_fingerprint) == first.contract
+    ov = spark.createDataFrame([("cost", "identifier", None, None)], "name string, role string, domain string, sensitivity string")
+    store.save(dashboard.rebuild(first, ov).contract, 2.0)
+    again = dashboard.build_dashboard(spark, df=made(70), contracts=store, now=3.0)
+    assert again.quality["reused_contract"] and again.contract.version == 2 and again.contract.n_rows == 70
+    assert again.contract.fields["cost"].is_identifier and not again.insights
+    assert all("cost" not in (c.get("x_field"), c.get("y_field")) for c in again.charts)
+    first.release()
+    assert not first.df.is_cached
+
+
+def test_arbitration_and_standard_charts(spark):
+    df = frame(spark, order_id=[f"O{i}" for i in range(60)], region=cycle(list("NSEW"), 60), amount=[float(i % 13) for i in range(60)])
+    said = spark.createDataFrame([("region", "text"), ("order_id", "numeric"), ("amount", "nonsense")], "name string, role string")
+    out = dashboard.build_dashboard(spark, df=df, suggestions=said)
+    assert out.quality["arbitrated"] == [{"name": "region", "old_role": "categorical", "role": "text"}]
+    roles_ = {r["name"]: r["role"] for r in out.profile.collect()}
+    assert roles_["region"] == "text" and roles_["order_id"] == "identifier"
+    assert out.charts and all("data" in c for c in out.charts)
+
+
 def test_number_text(spark):
     from tabwise.functions import text as tx
 
