@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -160,28 +161,42 @@ def schema_fingerprint(fields: DataFrame) -> DataFrame:
 
 
 def detect_grain(df: DataFrame, dims: list[str], max_combo: int = 2) -> tuple[str, ...]:
-    """Smallest set of dimension columns that is complete and unique per row (first eight dimensions).
+    """Smallest set of complete dimension columns that is unique per row, first in column order among equals.
 
-    One sketch pass over all 36 combinations discards those far from unique; the survivors are checked
-    exactly, in order, by a grouped count.
+    The lattice of sets is walked a size at a time. A set is worth a sketch only if the product of its columns' distinct
+    counts reaches the rows; the sketches of a size share a scan, and what they leave is proven in one shuffle.
     """
-    dims = dims[:8]
-    combos = [c for k in range(1, max_combo + 1) for c in itertools.combinations(dims, k)]
-    if not combos:
+    if not dims:
         return ()
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(d).isNull()).alias(f"null_{d}") for d in dims],
-        *[F.approx_count_distinct(F.struct(*c), 0.02).alias(f"c{i}") for i, c in enumerate(combos)],
+        *[F.approx_count_distinct(d, 0.02).alias(f"d_{d}") for d in dims],
     ).first()
-    for i, combo in enumerate(combos):
-        if row["n"] == 0 or any(row[f"null_{d}"] for d in combo) or row[f"c{i}"] < 0.85 * row["n"]:
-            continue
-        if not grain_duplicates(df, combo).head(1):
-            return combo
+    n, whole = row["n"], [d for d in dims if not row[f"null_{d}"]]
+    if not n:
+        return ()
+    for k in range(1, max_combo + 1):
+        able = [c for c in itertools.combinations(whole, k) if math.prod(row[f"d_{d}"] for d in c) >= 0.85 * n]
+        if k > 1 and able:
+            sketch = df.agg(*[F.approx_count_distinct(F.struct(*c), 0.02).alias(f"c{i}") for i, c in enumerate(able)]).first()
+            able = [c for i, c in enumerate(able) if sketch[f"c{i}"] >= 0.85 * n]
+        repeated = _repeated(df, able)
+        unique = [c for i, c in enumerate(able) if i not in repeated]
+        if unique:
+            return unique[0]
     return ()
 
 
+def _repeated(df: DataFrame, combos: list[tuple]) -> set[int]:
+    """Numbers of the column sets that some two rows share, by 128 bits of their values; all sets in one shuffle."""
+    if not combos:
+        return set()
+    cells = F.array(*[F.struct(F.lit(i).alias("set"), F.xxhash64(*c).alias("a"), F.xxhash64(F.lit(1), *c).alias("b")) for i, c in enumerate(combos)])
+    counted = df.select(F.inline(cells)).groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("copies"))
+    return {r["set"] for r in counted.filter("copies > 1").select("set").distinct().collect()}
+
+
 def grain_duplicates(df: DataFrame, combo) -> DataFrame:
     return df.groupBy(*combo).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
