@@ -225,15 +225,15 @@ def density_grid(df: DataFrame, x: str, y: str, bins: int = 30, clips: dict | No
     return grid.join(F.broadcast(counted), ["x_bin", "y_bin"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
 
 
-def scatter(df: DataFrame, x: str, y: str, max_points: int = config.DENSITY_THRESHOLD) -> tuple[str, DataFrame | None]:
-    """('scatter', points), ('heatmap', grid) beyond ``max_points`` points, or ('none', None) for flat data."""
+def scatter(df: DataFrame, x: str, y: str, max_points: int | None = config.DENSITY_THRESHOLD) -> tuple[str, DataFrame | None]:
+    """('scatter', points), ('heatmap', grid) beyond ``max_points`` points (None: all points), or ('none', None) for flat data."""
     rows = df.select(tx.numeric(df, x).alias("x"), tx.numeric(df, y).alias("y")).filter("x is not null and y is not null")
     clips = clip_bounds(rows, ["x", "y"])
     rows = rows.select(clips["x"].apply(F.col("x")).alias("x"), clips["y"].apply(F.col("y")).alias("y"))
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy")).first()
     if s["n"] < 3 or min(s["sx"] or 0.0, s["sy"] or 0.0) < 0.001:
         return "none", None
-    if s["n"] > max_points:
+    if max_points is not None and s["n"] > max_points:
         return "heatmap", density_grid(df, x, y, clips=clips)
     return "scatter", rows
 
