@@ -45,7 +45,7 @@ def key_indicators(roled: DataFrame, n_rows: int) -> DataFrame:
     """(seq, indicator, value, type): averages and spreads, year spans, dataset size, dominant category."""
     view = profile_view(roled)
     num = view.filter("role = 'numeric'")
-    money = lambda c: F.format_string("%.2f", c)
+    money = lambda c: tx.fixed_point(c, 2)
     spans = num.filter("v_year and min is not null").select(
         (F.col("position") * 2).alias("seq"), F.concat("name", F.lit(" range")).alias("indicator"),
         F.concat(F.col("min").cast("bigint"), F.lit("–"), F.col("max").cast("bigint")).alias("value"), F.lit("range").alias("type"),
@@ -151,7 +151,7 @@ def kpis(roled: DataFrame, insights: DataFrame, top_k: int = config.KPI_TOP_K) -
     """(label, value, type, score): columns and correlations scoring above 0.5, best first."""
     scored = roled.withColumn("score", kpi_score()).filter("score > 0.5")
     value = (
-        F.when((F.col("role") == "numeric") & F.col("mean").isNotNull(), F.concat(F.format_string("%.2f", F.col("mean")), F.lit(" (±"), F.format_string("%.2f", F.col("std")), F.lit(")")))
+        F.when((F.col("role") == "numeric") & F.col("mean").isNotNull(), F.concat(tx.fixed_point(F.col("mean"), 2), F.lit(" (±"), tx.fixed_point(F.col("std"), 2), F.lit(")")))
         .when(F.col("role").isin("categorical", "text") & (F.size("top_categories") > 0), F.concat(F.lit("Top: '"), F.col("top_categories")[0]["value"], F.lit("'")))
         .otherwise("N/A")
     )
@@ -159,7 +159,7 @@ def kpis(roled: DataFrame, insights: DataFrame, top_k: int = config.KPI_TOP_K) -
     known = roled.select("name")
     pairs = insights.join(F.broadcast(known.withColumnRenamed("name", "a")), "a", "left_semi").join(F.broadcast(known.withColumnRenamed("name", "b")), "b", "left_semi")
     corr = pairs.filter(F.abs("r") > 0.5).select(
-        F.concat(F.lit("Corr: "), "a", F.lit(" & "), "b").alias("label"), F.format_string("%.2f", F.col("r")).alias("value"),
+        F.concat(F.lit("Corr: "), "a", F.lit(" & "), "b").alias("label"), tx.fixed_point(F.col("r"), 2).alias("value"),
         F.lit("correlation").alias("type"), F.abs("r").alias("score"), F.lit(1_000_000).alias("seq"),
     )
     return cols.unionByName(corr).orderBy(F.desc("score"), "seq", "label").limit(top_k).drop("seq")

@@ -1,15 +1,30 @@
 """Borders of size and rounding: results that hold on small tables must hold on large ones."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from tabwise.functions import text as tx
 from tabwise.operators import charts
 from tabwise.plans import catalog_charts  # noqa: F401  (registers the queries)
 from tabwise.plans.catalog import QUERIES
 
 
+def frame(spark, pdf, parts=5):
+    return spark.createDataFrame(pdf).repartition(parts)
+
+
 def test_scatter_with_every_point(spark, tmp_path):
     n = 12_000
     spark.range(n).select(F.col("id").alias("s_suppkey"), F.rand(3).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
     assert [tuple(r) for r in QUERIES["c20_flat_scatter"](spark, str(tmp_path)).collect()] == [("scatter", n)]
     df = spark.read.parquet(f"{tmp_path}/supplier.parquet")
     assert charts.scatter(df, "s_suppkey", "s_acctbal")[0] == "heatmap"
+
+
+def test_fixed_point_rounds_the_exact_value(spark):
+    rng = np.random.default_rng(5)
+    ties = [0.125, 0.375, 2.675, 1.005, -2.675, 0.005, 1.115, 8.5, 0.25, 0.35, 0.45, -0.04, 0.0, 999.995, 7.25, 123456789.125, 2.0**50 + 0.25, np.inf]
+    values = [*ties, *(rng.integers(0, 10**6, 4000) / 1000 + 0.005), *(rng.random(2000) * 10.0 ** rng.integers(-3, 9, 2000))]
+    rows = frame(spark, pd.DataFrame({"v": values})).select("v", tx.fixed_point(F.col("v"), 1).alias("one"), tx.fixed_point(F.col("v"), 2).alias("two")).collect()
+    assert not [r for r in rows if np.isfinite(r.v) and (r.one, r.two) != (f"{r.v:.1f}", f"{r.v:.2f}")]
