@@ -7,6 +7,8 @@ in the sorted column: values and both ends of every range go through one orderin
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +32,54 @@ def digamma(n: Column) -> Column:
     return out
 
 
-def _scaled(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """``cols`` over their standard deviation, with a jitter far below it that tells equal values apart."""
+def _parts(rows: DataFrame, cols: list[str]) -> dict[str, tuple[Column, Column]]:
+    """Per column its value in standard deviations and a jitter far below that, which comes from the row's number."""
     stats = rows.agg(*[f for c in cols for f in (F.stddev_pop(c).alias(f"s_{c}"), F.avg(F.abs(F.col(c))).alias(f"m_{c}"))]).first()
-    out = []
+    out = {}
     for c in cols:
         s = stats[f"s_{c}"] or 1.0
         noise = F.xxhash64("pid", F.lit(c)).cast("double") / 2.0**63
-        out.append((F.col(c) / s + noise * (JITTER * max(1.0, (stats[f"m_{c}"] or 0.0) / s))).alias(c))
-    return rows.select("pid", *out)
+        out[c] = F.col(c) / s, noise * (JITTER * max(1.0, (stats[f"m_{c}"] or 0.0) / s))
+    return out
+
+
+def _scaled(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` over their standard deviation, with a jitter that tells equal values apart."""
+    return rows.select("pid", *[(v + noise).alias(c) for c, (v, noise) in _parts(rows, cols).items()])
+
 
+def _total(a, b, rest=0.0):
+    """a + b + ``rest`` (far below them) as two doubles: the nearest to the sum, and what it lacks."""
 
-def _counts(asked: DataFrame) -> DataFrame:
-    """(name, pid, n): rows of the column ``name`` strictly nearer than r to v, of (name, pid, v, r)."""
-    near = F.col("r") - (F.abs("v") + F.col("r")) * 2.0**-50  # below r by more than the rounding of v -+ r
-    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), at.alias("at")) for kind, at in ((0, F.col("v") - near), (1, F.col("v")), (2, F.col("v") + near))])
+    def exact(x, y):
+        s = x + y
+        t = s - x
+        return s, (x - (s - t)) + (y - t)
+
+    s, left = exact(a, b)
+    return exact(s, left + rest)
+
+
+def _counts(asked: DataFrame, rounding: float = 2.0**-50) -> DataFrame:
+    """(name, pid, n): rows of the column ``name`` strictly nearer than r to v, of (name, pid, v, r[, v_lo, r_lo]).
+
+    A row counts itself; where r is no more than ``rounding`` of v and r, the rows of the very same value count.
+    """
+    if "v_lo" not in asked.columns:
+        asked = asked.withColumns({"v_lo": F.lit(0.0), "r_lo": F.lit(0.0)})
+
+    @F.pandas_udf("a double, a_lo double, b double, b_lo double")
+    def reach(v: pd.Series, v_lo: pd.Series, r: pd.Series, r_lo: pd.Series) -> pd.DataFrame:
+        hi, lo = _total(r, r_lo, -(v.abs() + r) * rounding)
+        some = (hi > 0) & (r > 0)
+        hi, lo = hi.where(some, 0.0), lo.where(some, 0.0)
+        (a, a_lo), (b, b_lo) = _total(v, -hi, v_lo - lo), _total(v, hi, v_lo + lo)
+        return pd.DataFrame({"a": a + 0.0, "a_lo": a_lo + 0.0, "b": b + 0.0, "b_lo": b_lo + 0.0})
+
+    asked = asked.select("name", "pid", "v", "v_lo", reach("v", "v_lo", "r", "r_lo").alias("to"))
+    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at"), F.col(lo).alias("lo")) for kind, at, lo in ((0, "to.a", "to.a_lo"), (1, "v", "v_lo"), (2, "to.b", "to.b_lo"))])
     rows = asked.select("name", "pid", F.inline(ends))
-    placed = blocks.in_order(rows, ["name", "at", "kind"])
+    placed = blocks.in_order(rows, ["name", "at", "lo", "kind"])
     is_value = (F.col("kind") == 1).cast("bigint")
     before = blocks.starts(placed, _before=F.sum(is_value))
     run = F.sum(is_value).over(blocks.within().rowsBetween(Window.unboundedPreceding, 0))
@@ -94,23 +127,43 @@ def class_information(df: DataFrame, features: list[str], target: str, k: int =
     base = cut_lineage(complete.withColumn("pid", F.monotonically_increasing_id()))
     sizes = base.groupBy("_class").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     rows = base.join(sizes, "_class")  # Spark broadcasts the sizes where it measures few classes
-    scaled = cut_lineage(_scaled(rows.select("pid", *features), features).join(rows.select("pid", "_class", "_size"), "pid"))
+    # value and jitter are kept as two doubles: millions of rows may share a value, and one double has no room to part them
+    @F.pandas_udf("hi double, lo double")
+    def pair(v: pd.Series, noise: pd.Series) -> pd.DataFrame:
+        hi, lo = _total(v, noise)
+        return pd.DataFrame({"hi": hi + 0.0, "lo": lo + 0.0})
+
+    scaled = cut_lineage(rows.select("pid", "_class", "_size", *[pair(v, noise).alias(c) for c, (v, noise) in _parts(rows, features).items()]))
     n = scaled.count()
     if not n:
         return df.sparkSession.createDataFrame([], "feature string, mi double")
-    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in features])
+    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c)["hi"].alias("v"), F.col(c)["lo"].alias("v_lo")) for c in features])
     long = scaled.select("pid", "_class", "_size", F.inline(values))
     # in one column the k nearest of a row's class are among the k before and the k after it in order
-    placed = blocks.in_order(long, ["name", "_class", "v"])
+    placed = blocks.in_order(long, ["name", "_class", "v", "v_lo"])
     ordered = blocks.numbered(placed, "place")
     near = blocks.with_halo(ordered, "place", k, 100_000)
     win = Window.partitionBy("halo").orderBy("place")
-    same = lambda f, i: F.when((f("name", i).over(win) == F.col("name")) & (f("_class", i).over(win) == F.col("_class")), F.abs(f("v", i).over(win) - F.col("v")))
-    gaps = F.array_sort(F.array_compact(F.array(*[same(f, i) for f in (F.lag, F.lead) for i in range(1, k + 1)])))
-    measured = near.withColumn("gaps", gaps).filter("own")
-    asked = measured.select("name", "pid", "v", F.element_at("gaps", F.least(F.lit(k), F.col("_size") - 1).cast("int")).alias("r"), "_size")
+    same = lambda f, i, c: F.when((f("name", i).over(win) == F.col("name")) & (f("_class", i).over(win) == F.col("_class")), f(c, i).over(win))
+    sides = [(f, i) for f in (F.lag, F.lead) for i in range(1, k + 1)]
+    near = near.withColumns({f"_{c}{at}": same(f, i, c) for at, (f, i) in enumerate(sides) for c in ("v", "v_lo")})
+
+    @F.pandas_udf("r double, r_lo double")
+    def radius(which: pd.Series, v: pd.Series, v_lo: pd.Series, *others: pd.Series) -> pd.DataFrame:
+        gaps = []
+        for at in range(2 * k):
+            sign = 1.0 if at < k else -1.0  # what lies before is smaller
+            gaps.append(_total(sign * v, -sign * others[2 * at], sign * (v_lo - others[2 * at + 1])))
+        hi, lo = (np.column_stack([g[side].to_numpy(dtype=float) for g in gaps]) for side in (0, 1))
+        order, at = np.lexsort((lo, hi), axis=1), np.arange(len(v))  # missing neighbours come last
+        pick = order[at, which.to_numpy(dtype=int) - 1]
+        return pd.DataFrame({"r": hi[at, pick], "r_lo": lo[at, pick]})
+
+    which = F.least(F.lit(k), F.col("_size") - 1)
+    found = near.filter("own").select("name", "pid", "v", "v_lo", "_size", radius(which, "v", "v_lo", *[f"_{c}{at}" for at in range(2 * k) for c in ("v", "v_lo")]).alias("r"))
+    asked = found.select("name", "pid", "v", "v_lo", "r.r", "r.r_lo", "_size")
     asked = cut_lineage(asked)
-    counted = _counts(asked.drop("_size")).join(asked.select("name", "pid", "_size"), ["name", "pid"])
+    counted = _counts(asked.drop("_size"), 2.0**-96).join(asked.select("name", "pid", "_size"), ["name", "pid"])
     m, own = F.avg(digamma(F.col("n"))), F.avg(digamma(F.col("_size")) - digamma(F.least(F.lit(k), F.col("_size") - 1)))
     out = counted.groupBy(F.col("name").alias("feature")).agg(F.greatest(F.lit(0.0), digamma(F.lit(n)) - own - m).alias("mi"))
     return out.orderBy(F.desc("mi"), "feature").limit(top)

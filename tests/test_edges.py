@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tabwise.functions import text as tx
-from tabwise.operators import charts, supervised
+from tabwise.operators import charts, information, supervised
 from tabwise.plans import catalog_charts  # noqa: F401  (registers the queries)
 from tabwise.plans.catalog import QUERIES
 
@@ -37,3 +38,19 @@ def test_folds_stay_even_over_blocks(spark, monkeypatch):
     for label, rows in ((0.0, 1335), (1.0, 668)):
         sizes = {r["fold"]: r["count"] for r in got if r["label"] == label}
         assert [sizes[i] for i in range(5)] == [rows // 5 + (i < rows % 5) for i in range(5)]
+
+
+def test_class_information_of_crowded_values(spark, monkeypatch):
+    """More rows on a value than the jitter can tell apart in one double."""
+    rng = np.random.default_rng(9)
+    n = 4000
+    c = rng.integers(0, 2, n)
+    x = np.where(rng.random(n) < 0.9, c, 1 - c) + 0.0
+    p = pd.crosstab(x, c).to_numpy() / n
+    plain = (p * np.log(p / p.sum(1, keepdims=True) / p.sum(0, keepdims=True))).sum()
+    monkeypatch.setattr(information, "JITTER", 1e-15)
+    got = information.class_information(frame(spark, pd.DataFrame({"x": x + 5, "c": c.astype(str)})), ["x"], "c").first()["mi"]
+    assert got == pytest.approx(plain, abs=0.03)
+    monkeypatch.setattr(information, "JITTER", 0.0)  # six rows of a class on each value, at no distance
+    equal = pd.DataFrame({"x": np.repeat(np.arange(1.0, 41.0), 6), "c": np.repeat(np.arange(40) % 2, 6).astype(str)})
+    assert np.isfinite(information.class_information(frame(spark, equal), ["x"], "c").first()["mi"])
