@@ -72,17 +72,18 @@ def value_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = profiled_columns(df) if cols is None else cols
     none_s, none_i, none_d = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
     cells = []
-    for c in cols:
+    for i, c in enumerate(cols):
         kind = kind_of(df, c)
         cells += [
-            F.lit(c),
+            F.lit(i),
             none_s if kind in ("int", "float") else _text(df, c),
             F.col(c).cast("bigint") if kind == "int" else none_i,
             F.col(c).cast("double") if kind == "float" else none_d,
         ]
-    long = spread(df.select(*cols)).select(F.stack(F.lit(len(cols)), *cells).alias("name", "text", "whole", "num"))
+    long = spread(df.select(*cols)).select(F.stack(F.lit(len(cols)), *cells).alias("at", "text", "whole", "num"))
     present = F.coalesce(F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("num").isNotNull(), F.lit(False))
-    return long.filter(present).groupBy("name", "text", "whole", "num").agg(F.count(F.lit(1)).alias("cnt"))
+    counted = long.filter(present).groupBy("at", "text", "whole", "num").agg(F.count(F.lit(1)).alias("cnt"))  # numbers make shorter keys than names
+    return counted.select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("at") + 1).alias("name"), "text", "whole", "num", "cnt")
 
 
 def _text(df: DataFrame, c: str) -> Column:
