@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabwise import config
 from tabwise.functions import text as tx
 from tabwise.operators import matrix as mx
-from tabwise.session import side_by_side
+from tabwise.session import dealt, side_by_side
 
 
 def _fit_best(vectors: DataFrame, ks, seed: int):
@@ -40,7 +40,7 @@ def best_kmeans(df: DataFrame, cols: list[str], ks=range(2, 8), seed: int = 0) -
     if n < 16 or len(cols) < 2:
         return {}
     m = mx.fit_matrix(rows, cols, scale=True)
-    vectors = m.assemble(rows, [], scaled=True).select("features").cache()
+    vectors = m.assemble(dealt(rows, n), [], scaled=True).select("features").cache()
     try:
         best = _fit_best(vectors, [k for k in ks if k < n - 1], seed)
     finally:
@@ -55,11 +55,10 @@ def segment(df: DataFrame, numeric: list[str], categorical: list[str] = (), key:
     full = mx.drop_empty_rows(df, [*numeric, *categorical])
     m = mx.fit_matrix(full, numeric, list(categorical), scale=True)
     raw = full.select(*[F.col(c).alias(f"key_{c}") for c in key], *m.raw(full))
-    vectors = m.assemble(raw, [f"key_{c}" for c in key], scaled=True).cache()
-    n = vectors.count()
+    n = raw.count()
     if n < config.ML_MIN_ROWS:
-        vectors.unpersist()
         return None
+    vectors = m.assemble(dealt(raw, n), [f"key_{c}" for c in key], scaled=True).cache()
     best = _fit_best(vectors, range(2, max(3, min(max_k + 1, n))), seed)
     labelled = best[2].transform(vectors)
     return labelled, m, best[1], best[0]

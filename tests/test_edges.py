@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwise.functions import text as tx
-from tabwise.operators import charts, information, supervised
+from tabwise.operators import charts, information, segments, supervised
 from tabwise.plans import catalog_charts  # noqa: F401  (registers the queries)
 from tabwise.plans.catalog import QUERIES
+from tabwise.session import dealt
 
 
 def frame(spark, pdf, parts=5):
@@ -54,3 +55,24 @@ def test_class_information_of_crowded_values(spark, monkeypatch):
     monkeypatch.setattr(information, "JITTER", 0.0)  # six rows of a class on each value, at no distance
     equal = pd.DataFrame({"x": np.repeat(np.arange(1.0, 41.0), 6), "c": np.repeat(np.arange(40) % 2, 6).astype(str)})
     assert np.isfinite(information.class_information(frame(spark, equal), ["x"], "c").first()["mi"])
+
+
+def test_many_rows_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    few, many = spark.range(0, 900, 1, 1), spark.range(0, 250_000, 1, 1)
+    assert dealt(few, 900).rdd.getNumPartitions() == 1
+    sizes = [r["n"] for r in dealt(many, 250_000, 10_000).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 25 and max(sizes) <= 11_000
+    seen = []
+    monkeypatch.setattr(segments, "dealt", lambda df, n: seen.append(n) or df)
+    monkeypatch.setattr(supervised, "dealt", lambda df, n: seen.append(n) or df)
+    df = spark.range(400).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    segments.segment(df, ["a", "b"], max_k=2)
+    supervised.forest_importances(df, "a", ["b"], trees=2, depth=2)
+    assert seen == [400, 400]
+
+
+def test_date_layouts_are_tried_once_per_text(spark):
+    df = frame(spark, pd.DataFrame({"day": ["3/4/2021", "25/12/2020", None, "25/12/2020", "x"] * 50, "v": range(250)}))
+    out = tx.typed_dates(df, ["day", "v"])
+    assert out.schema["day"].dataType.typeName().startswith("timestamp")
+    assert out.groupBy("day").count().count() == 3
