@@ -10,15 +10,18 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwise import config
 from tabwise.operators import blocks
-from tabwise.session import several_passes, spread
+from tabwise.session import cut_lineage, several_passes, spread
 
 INF = float("inf")
+RANK_ROWS = 500_000  # rows of a range that are ranked at once
 
 
 def unpivot_numeric(df: DataFrame, cols: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -82,6 +85,48 @@ def average_ranks(df: DataFrame, cols: list[str], task_rows: int | None = None)
     return pos.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / 2).drop("before")
 
 
+def with_average_rank(df: DataFrame, col: str, name: str, rows: int, task_rows: int | None = None) -> DataFrame:
+    """``df`` (no nulls in ``col``, about ``rows`` rows) with ``name``: the rank of ``col`` from 1, ties share their average.
+
+    Rows are dealt by ranges of the value, sorted and ranked where they lie, so no cell is shuffled back. A value may
+    go on over several ranges (a hot one is no task's burden): only the first and the last value of a range can, and
+    their ranks come from one row per range.
+    """
+    parts = max(1, -(-rows // min(task_rows or config.TASK_ROWS, RANK_ROWS)))
+    keyed = df.withColumn(col, F.col(col).cast("double") + F.lit(0.0)).withColumn("_tie", F.monotonically_increasing_id())  # -0.0 is 0.0
+    dealt = keyed.repartitionByRange(parts, col, "_tie").drop("_tie").sortWithinPartitions(col).withColumn("_part", F.spark_partition_id())
+
+    def ranked(batches):
+        pieces = list(batches)  # the rows of one range
+        if not pieces:
+            return
+        p = pd.concat(pieces, ignore_index=True)
+        v = p[col].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        size = np.diff(np.append(first, len(v)))
+        p["_rank"], p["_ties"] = np.repeat(first + (size + 1) / 2, size), np.repeat(size, size)
+        yield p
+
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_rank", T.DoubleType()), T.StructField("_ties", T.LongType())])
+    placed = cut_lineage(dealt.mapInPandas(ranked, schema))
+    value = F.struct(F.col(col), "_ties")
+    ends = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()  # one row per range
+    before: dict[float, int] = {}
+    held: dict[float, int] = {}
+    starts, at = [], 0
+    for r in sorted(ends, key=lambda r: r["_part"]):
+        (lo, n_lo), (hi, n_hi) = r["lo"], r["hi"]
+        for v, skipped, n in [(lo, 0, n_lo)] + ([(hi, r["n"] - n_hi, n_hi)] if hi != lo else []):
+            before.setdefault(v, at + skipped)
+            held[v] = held.get(v, 0) + n
+        starts.append((r["_part"], at, lo, hi))
+        at += r["n"]
+    rank = {v: before[v] + (held[v] + 1) / 2 for v in before}
+    table = df.sparkSession.createDataFrame([(p, a, lo, hi, rank[lo], rank[hi]) for p, a, lo, hi in starts], "_part int, _at long, _lo double, _hi double, _first double, _last double")
+    own = F.when(F.col(col) == F.col("_lo"), F.col("_first")).when(F.col(col) == F.col("_hi"), F.col("_last")).otherwise(F.col("_at") + F.col("_rank"))
+    return placed.join(F.broadcast(table), "_part").select(*df.columns, own.alias(name))
+
+
 def join_on_value(fact: DataFrame, table: DataFrame, keys: list[str], heavy_rows: int, rows: int) -> DataFrame:
     """Inner join of rows with a per-value table (column ``cnt`` = rows of that value), safe for hot values.
 

@@ -71,8 +71,8 @@ def spearman_pairs(df: DataFrame, cols: list[str], min_rows: int = 8, task_rows:
     """(a, b, rho, n): Pearson on average ranks within the rows complete for the pair.
 
     Columns without gaps are ranked once for all their pairs; a column with gaps is paired with them on its
-    own rows; two columns with gaps get their own ranks. Each group costs one join per column, then one
-    aggregation for all its pairs.
+    own rows; two columns with gaps get their own ranks. Each group costs one sort per column of many values, then
+    one aggregation for all its pairs.
     """
     num = spread(df.select(*[tx.numeric(df, c).alias(c) for c in cols]))
     gaps = num.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols], F.count(F.lit(1)).alias("_rows")).first()
@@ -90,29 +90,20 @@ def spearman_pairs(df: DataFrame, cols: list[str], min_rows: int = 8, task_rows:
 
 
 def _rank_correlations(rows: DataFrame, members: list[str], pairs: list[tuple], total: int, task_rows: int | None, broadcast_rows: int | None = None) -> DataFrame:
-    """Columns of few distinct values get their ranks by broadcast; all others together: one shuffle of their cells to
-    the ranks, one back to the rows, however many columns there are."""
+    """Columns of few distinct values get their ranks by broadcast; rows are put in the order of each other column once
+    and ranked where they lie."""
     most = config.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    ranks = cut_lineage(ordering.average_ranks(rows, members, task_rows))
-    sizes = dict(ranks.groupBy("name").agg(F.count(F.lit(1))).collect())  # one row per column
-    large = [c for c in members if sizes.get(c, 0) > most]
+    about = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in members]).first()
+    small = [c for c in members if about[c] <= most // 2]
     placed = rows
-    for c in members:
-        if c not in large:
+    if small:
+        ranks = cut_lineage(ordering.average_ranks(rows, small, task_rows))
+        for c in small:
             table = ranks.filter(F.col("name") == c).select(F.col("value").alias(c), F.col("rank").alias(f"r_{c}"))
             placed = placed.join(F.broadcast(table), c).drop(c)
-    heavy = max(config.BROADCAST_ROWS, total // 1000)
-    if len(large) == 1:
-        table = ranks.filter(F.col("name") == large[0]).select(F.col("value").alias(large[0]), F.col("rank").alias(f"r_{large[0]}"), "cnt")
-        placed = ordering.join_on_value(placed, table, large, heavy, total)
-    elif large:
-        placed = cut_lineage(placed.withColumn("_row", F.monotonically_increasing_id()))
-        cells = [e for c in large for e in (F.lit(c), F.col(c))]
-        long = placed.select("_row", F.stack(F.lit(len(large)), *cells).alias("name", "value"))
-        ranked = ordering.join_on_value(long, ranks.select("name", "value", "rank", "cnt"), ["name", "value"], heavy, total * len(large))
-        back = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("name") == c, F.col("rank"))).alias(f"r_{c}") for c in large])
-        kept = [c for c in placed.columns if c not in (*large, "_row")]
-        placed = placed.select("_row", *kept).join(back, "_row") if kept else back
+    for c in members:
+        if c not in small:
+            placed = ordering.with_average_rank(placed, c, f"r_{c}", total, task_rows).drop(c)
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"r_{a}", f"r_{b}").alias("rho"), F.count(F.lit(1)).alias("n")) for a, b in pairs]
     return placed.agg(F.array(*cells).alias("p")).select(F.inline("p"))
 

@@ -231,6 +231,19 @@ def test_spearman_of_many_columns(spark, most, monkeypatch):
     assert len(got) == 6 and all(v == pytest.approx(want.loc[k]) for k, v in got.items())
 
 
+def test_ranks_where_rows_lie(spark):
+    """A value held by a third of the rows goes on over several ranges; all its rows share one rank."""
+    from tabwise.operators import ordering
+
+    rng = np.random.default_rng(12)
+    v = np.concatenate([np.full(200, 1.5), rng.normal(1.5, 1, 350).round(2), [0.0, -0.0, np.inf, -np.inf]])
+    pdf = pd.DataFrame({"k": rng.permutation(len(v)), "v": v})
+    placed = ordering.with_average_rank(frame(spark, pdf), "v", "r", len(v), task_rows=40)
+    got = {r.k: r.r for r in placed.collect()}
+    assert placed.columns == ["k", "v", "r"] and got == dict(zip(pdf.k, pdf.v.rank()))
+    assert ordering.with_average_rank(frame(spark, pdf).limit(0), "v", "r", 0).count() == 0
+
+
 def test_runs_over_a_threshold(spark):
     from tabwise.streaming import logs
 
