@@ -209,6 +209,39 @@ def test_information_about_classes(spark):
         assert got[col] == pytest.approx(max(0.0, psi(400) - np.mean(terms) - np.mean(m)), abs=1e-6)
 
 
+@pytest.mark.parametrize("side,asked", [(10**6, 10**6), (150, 10**6), (40, 60)])
+def test_class_information_in_ranges(spark, monkeypatch, side, asked):
+    """Ranges of any size and passes over what reaches beyond them give the brute-force result, and no row is written once per column."""
+    rng = np.random.default_rng(12)
+    c = rng.choice(list("pqr"), 600, p=[0.6, 0.35, 0.05])
+    pdf = pd.DataFrame({"x": rng.normal(size=600) + np.where(c == "q", 3.0, 0.0), "far": np.where(c == "r", rng.choice([-900.0, 900.0], 600), 0) + rng.normal(size=600), "c": c})
+    pdf.loc[600], pdf.loc[601], pdf.loc[602] = [0.1, 0.2, "alone"], [5.0, -40.0, "two"], [-2.0, 700.0, "two"]
+    monkeypatch.setattr(information, "SIDE_ROWS", side, raising=False)
+    monkeypatch.setattr(information, "ASKED_ROWS", asked, raising=False)
+    cut, written = information.cut_lineage, []
+
+    def counted(df):
+        out = cut(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(information, "cut_lineage", counted)
+    got = {r.feature: r.mi for r in information.class_information(frame(spark, pdf).repartition(3), ["x", "far"], "c").collect()}
+    pdf = pdf.drop(600)
+    cls = pdf.c.to_numpy()
+    for col in ("x", "far"):
+        v = pdf[col].to_numpy() / pdf[col].std(ddof=0)
+        terms, m = [], []
+        for i in range(602):
+            own = np.abs(v[cls == cls[i]] - v[i])
+            k = min(3, len(own) - 1)
+            m.append(psi(int((np.abs(v - v[i]) < np.sort(own)[k] * (1 - 1e-12)).sum())))
+            terms.append(psi(len(own)) - psi(k))
+        assert got[col] == pytest.approx(max(0.0, psi(602) - np.mean(terms) - np.mean(m)), abs=1e-6)
+    if side > 603:
+        assert not any(n > 603 for _, n in written)
+
+
 def test_digamma(spark):
     rows = spark.createDataFrame([(n,) for n in (1, 2, 3, 10, 1000)], "n long").select("n", information.digamma(F.col("n")).alias("p")).collect()
     assert all(r.p == pytest.approx(psi(r.n), abs=1e-12) for r in rows)
